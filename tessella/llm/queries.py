@@ -1,9 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, quality, simhash, substring_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op9_packing": packing.op9_packing,
 }
-SQL = {"op3_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_substring_dedup": substring_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL}

@@ -59,15 +59,16 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 NAMED = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
 ENTITY = re.compile(
     "|".join([
-        r"(?P<email>[^\W_][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<!-))",
         rf"(?P<ip>(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d))",
         r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
         r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
         r"(?P<card>(?<![\d.])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d))",
-        r"(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+[2-9]\d{0,2}[ .-]\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))",
+        r"(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+[2-9]\d{0,2}[ .-]\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))",
         r"(?P<secret>(?<=[=:\"' ])(?<![\w-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w-]))",
     ])
 )
+LOCAL = re.compile(r"[^\W_][\w.+-]{0,63}\Z")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<!-)")
 KEYED = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password)\b[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/-]{12,256})")
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'-]+"
 NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?P<titled>{CAPITAL}(?: {CAPITAL})?)|(?P<listed>(?:{NAMED}) {CAPITAL}))")
@@ -78,6 +79,9 @@ def find(text: str, marked: bool = True) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the entities, in order, without overlaps. marked: the text has a digit or an at sign."""
     found = []
     if marked:
+        for at in DOMAIN.finditer(text):
+            if local := LOCAL.search(text, max(0, at.start() - 64), at.start()):
+                found.append((local.start(), at.end(), "email", ""))
         found += [(*m.span(m.lastgroup if m.lastgroup != "gap" else "card"), "card" if m.lastgroup == "gap" else m.lastgroup, "") for m in ENTITY.finditer(text)]
     found += [(*m.span("secret"), "secret", "") for m in KEYED.finditer(text)]
     for m in NAME.finditer(text):

@@ -1,8 +1,6 @@
-"""Named queries of the engine and, where SQL can express them, the SQL that gives the same rows."""
+"""All named queries of the engine."""
 
 from __future__ import annotations
 
-from .operators import grid
-
-QUERIES = {"a01_grid_stat": grid.a01_grid_stat}
-SQL = {"a01_grid_stat": grid.A01_SQL}
+from .operators import filters, grid, projections  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401

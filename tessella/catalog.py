@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .operators import filters, grid, projections  # noqa: F401
+from .operators import aggregates, filters, grid, joins, projections, spatial, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

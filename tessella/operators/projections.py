@@ -48,7 +48,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p01_flatten_nested", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type,
        coalesce(json_extract_string(props, '$.title'), event_type || '/' || json_extract_string(props, '$.k')) AS title,
-       CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 AS high, list_sort(list_distinct([event_type, 'event', 'error'])) AS kinds
+       CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 AS high, array_to_string(list_sort(list_distinct([event_type, 'event', 'error'])), ',') AS kinds
 FROM events
 """)
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.coalesce(F.get_json_object("props", "$.title"), F.concat_ws("/", "event_type", k))
     return table(spark, sf_dir, "events").select(
         "event_id", k.cast("long").alias("k"), "event_type", title.alias("title"), (k.cast("long") >= 50).alias("high"),
-        F.array_sort(F.array_distinct(F.array("event_type", F.lit("event"), F.lit("error")))).alias("kinds"),
+        F.array_join(F.array_sort(F.array_distinct(F.array("event_type", F.lit("event"), F.lit("error")))), ",").alias("kinds"),
     )
 
 
@@ -105,11 +105,11 @@ def side_tag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p07_reversed_tags", """
-SELECT event_id, list_sort(list_filter(['kind', 'user', CASE WHEN k % 3 = 0 THEN 'lane:right' END, CASE WHEN k % 2 = 0 THEN 'lane:both' END], lambda x: x IS NOT NULL)) AS keys
+SELECT event_id, array_to_string(list_sort(list_filter(['kind', 'user', CASE WHEN k % 3 = 0 THEN 'lane:right' END, CASE WHEN k % 2 = 0 THEN 'lane:both' END], lambda x: x IS NOT NULL)), ',') AS keys
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 """)
 def reversed_tags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagged_events(spark, sf_dir).select("event_id", F.array_sort(F.map_keys(reversed_tags(F.col("tags")))).alias("keys"))
+    return tagged_events(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(reversed_tags(F.col("tags")))), ",").alias("keys"))
 
 
 @query("p08_classify", """
@@ -124,10 +124,10 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p09_round_nested", """
-SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT)) AS thousandths, label AS kind FROM embeddings
+SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT)), ',') AS thousandths, label AS kind FROM embeddings
 """)
 def round_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values inside arrays rounded, and a column renamed."""
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("thousandths"), F.col("label").alias("kind")
+        "vec_id", F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 1000).cast("string")), ",").alias("thousandths"), F.col("label").alias("kind")
     )

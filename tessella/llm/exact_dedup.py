@@ -47,15 +47,16 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     rows = rows.withColumn("_h", F.xxhash64("_text")).withColumn("_p", F.substring("_text", 1, 12))
     salted = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
     spark = df.sparkSession
+    route = ["_p", "_h", "_s"] if hot else ["_p", "_h"]  # a constant among them would cost a second exchange
     if hot:
         table = spark.createDataFrame([(h,) for h in hot], "_h long").withColumn("_hot", F.lit(True))
         rows = rows.join(F.broadcast(table), "_h", "left").withColumn("_s", F.when(F.col("_hot"), salted).otherwise(F.lit(-1))).drop("_hot")
     else:
         rows = rows.withColumn("_s", F.lit(-1))
 
-    run = Window.partitionBy("_p", "_h", "_s", "_text")
+    run = Window.partitionBy(*route, "_text")
     ranked = (
-        rows.repartitionByRange("_p", "_h", "_s")
+        rows.repartitionByRange(*route)
         .withColumn("_rank", F.row_number().over(run.orderBy(order(F.col("_id")))))
         .withColumn("_lead", best("_id").over(run))
         .withColumn("_n", F.count(F.lit(1)).over(run))

@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from .operators import aggregates, filters, grid, joins, projections, spatial, windows  # noqa: F401
+from .functions import scalar_queries  # noqa: F401
+from .operators import aggregates, filters, graph, grid, joins, ordering, projections, raster, spatial, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

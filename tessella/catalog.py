@@ -3,5 +3,5 @@
 from __future__ import annotations
 
 from .functions import scalar_queries  # noqa: F401
-from .operators import aggregates, filters, graph, grid, joins, ordering, projections, raster, spatial, windows  # noqa: F401
+from .operators import aggregates, filters, fusion, graph, grid, joins, ordering, projections, raster, rules, spatial, windows  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import sys
 import types
 import unicodedata
@@ -36,9 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, rowwise, texts
 
-KEEP = 400_000
+KEEP = 500_000
 LONG = 96
-ONE = [1]
 
 
 def byte_letters() -> list[str]:
@@ -48,20 +48,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(spare)) for b in range(256)]
 
 
-def sizes(table: dict[bytes, int]) -> dict[bytes, list[int]]:
-    """By a token's last two bytes: the lengths of tokens that end so, longest first, and 1."""
-    out: dict[bytes, set[int]] = {}
-    for token in table:
-        if len(token) > 1:
-            out.setdefault(token[-2:], {1}).add(len(token))
-    return {k: sorted(v, reverse=True) for k, v in out.items()}
+class Lengths(dict):
+    """By the last four bytes (fewer at a word's start): the lengths of tokens that may end there, longest first."""
 
+    def __init__(self, table: dict[bytes, int]):
+        self.table = table
+        self.longer: dict[bytes, set[int]] = {}
+        for token in table:
+            if len(token) > 4:
+                self.longer.setdefault(token[-4:], set()).add(len(token))
 
-def unassigned() -> str:
-    """A regular expression's ranges of the characters without a category in unicodedata."""
-    none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], none, [0]))))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+    def __missing__(self, tail: bytes) -> list[int]:
+        if len(self) > KEEP:
+            self.clear()
+        found = sorted(self.longer.get(tail, ()), reverse=True) + [n for n in range(len(tail), 0, -1) if tail[-n:] in self.table]
+        self[tail] = found
+        return found
 
 
 class Bpe:
@@ -79,7 +81,8 @@ class Bpe:
         self.split = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = byte_letters()
         self.library = Tokenizer.from_file(path)
-        self.unknown = regex.compile(f"[{unassigned()}]").search
+        self.simple = self.split("ab.") == ["ab", "."] and self.split("ab") == ["ab"]
+        self.assigned: set[str] = set()
         self.names = {i: t for t, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.added.items()}
@@ -99,19 +102,23 @@ class Bpe:
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
         vocab = model["vocab"]
         self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.inner_sizes, self.final_sizes = sizes(self.inner), sizes(self.final)
+        self.inner_sizes, self.final_sizes = Lengths(self.inner), Lengths(self.final)
         self.beside: dict[int, bool] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
-        self.stretches: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.late: dict[bytes, tuple[bytes, bytes]] = {}
+        self.early: dict[bytes, tuple[bytes, bytes]] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """Plain merging: the pair of lowest rank first, the leftmost on a tie."""
+        get = self.merge.get
         while len(ids) > 1:
-            best = min(((self.merge[p][0], k) for k in range(len(ids) - 1) if (p := (ids[k], ids[k + 1])) in self.merge), default=None)
-            if best is None:
+            rank, at, new = 1 << 60, -1, 0
+            for k in range(len(ids) - 1):
+                if (m := get((ids[k], ids[k + 1]))) is not None and m[0] < rank:
+                    (rank, new), at = m, k
+            if at < 0:
                 return ids
-            k = best[1]
-            ids = [*ids[:k], self.merge[ids[k], ids[k + 1]][1], *ids[k + 2 :]]
+            ids[at : at + 2] = [new]
         return ids
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -127,8 +134,8 @@ class Bpe:
             known = self.beside[key] = self.merged(ids) == [a, b]
         return known
 
-    def last_token(self, word: bytes, depth: int, states: list[int], table: dict[bytes, int], lengths: dict[bytes, list[int]]) -> int:
-        for size in lengths.get(word[max(0, depth - 2) : depth], ONE):
+    def last_token(self, word: bytes, depth: int, states: list[int], table: dict[bytes, int], lengths: Lengths) -> int:
+        for size in lengths[word[max(0, depth - 4) : depth]]:
             token = table.get(word[depth - size : depth]) if size <= depth else None
             if token is not None and (size == depth or self.may_follow(states[depth - size], token)):
                 return token
@@ -157,55 +164,74 @@ class Bpe:
             before = word[:-1]
         return out
 
-    def pieces(self, stretch: str) -> list[bytes]:
-        if not stretch.isascii() and self.unknown(stretch):
-            text = self.library.normalizer.normalize_str(stretch)
-            return [self.spell(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        text = unicodedata.normalize("NFC", stretch)
+    def unknown(self, text: str) -> bool:
+        new = set(text) - self.assigned
+        bad = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.assigned |= new - bad
+        return bool(bad)
+
+    def pieces(self, raw: bytes) -> list[bytes]:
+        """The words of a space-free stretch without added tokens."""
+        if self.simple and raw[:-1].isalpha():  # letters of ASCII and one more character at most
+            if raw.isalpha():
+                return [raw.lower()]
+            if raw[-1:] in (b".", b","):
+                return [raw[:-1].lower(), raw[-1:]]
+        text = raw.decode("utf-8", "replace")
+        if not text.isascii():
+            if self.unknown(text):
+                text = self.library.normalizer.normalize_str(text)
+                return [self.spell(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
         return [w.encode() for w in self.split(text)]
 
-    def encoded(self, stretches: set[bytes]) -> dict[bytes, tuple[bytes, bytes, int]]:
-        """Of each space-free stretch: the ids' bytes, the tokens' spellings joined by a space, the number of ids."""
+    def encoded(self, stretches: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Of each space-free stretch: the ids' bytes, and the tokens' spellings joined by a space."""
         parts: dict[bytes, list] = {}
         for s in stretches:
-            text = s.decode("utf-8", "replace")
-            if self.specials and any(x in s for x in self.special_bytes):
-                parts[s] = [self.added[x] if x in self.added else self.pieces(x) for x in self.specials(text) if x]
+            if self.special_bytes and b"<" in s and any(x in s for x in self.special_bytes):
+                text = self.specials(s.decode("utf-8", "replace"))
+                parts[s] = [w for x in text if x for w in ([self.added[x]] if x in self.added else self.pieces(x.encode()))]
             else:
-                parts[s] = [self.pieces(text)]
-        new = {w for p in parts.values() for x in p if not isinstance(x, int) for w in x} - self.words.keys()
-        found = self.traverse(new)
+                parts[s] = self.pieces(s)
+        found = self.traverse({w for p in parts.values() for w in p if not isinstance(w, int)} - self.words.keys())
         if len(self.words) > KEEP:
             self.words.clear()
         words = self.words
         words.update((w, i) for w, i in found.items() if len(w) <= LONG)
-        missing = lambda w: found[w] if w in found else self.traverse({w})[w]
         out = {}
+        names = self.names
         for s, p in parts.items():
             ids: list[int] = []
-            for x in p:
-                if isinstance(x, int):
-                    ids.append(x)
+            for w in p:
+                if isinstance(w, int):
+                    ids.append(w)
                 else:
-                    for w in x:
-                        ids.extend(words.get(w) or missing(w))
-            out[s] = (np.array(ids, "<u4").tobytes(), " ".join(map(self.names.__getitem__, ids)).encode(), len(ids))
+                    ids += words.get(w) or found.get(w) or self.traverse({w})[w]
+            out[s] = struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids]).encode()
         return out
 
     def texts(self, bodies: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """Number of ids, ids as little-endian 32-bit integers, and decoded text, of each text."""
+        """Number of ids, ids as little-endian 32-bit integers, and decoded text, of each text.
+
+        Two tables, the stretches of late and those before: what is met again moves over, so that common ones stay when a full table goes.
+        """
         split = [b.split() for b in bodies]
-        if len(self.stretches) > KEEP:
-            self.stretches.clear()
-        table = self.stretches
-        new = {s for x in split for s in x} - table.keys()
-        found = self.encoded(new)
-        table.update((s, v) for s, v in found.items() if len(s) <= LONG)
+        if len(self.late) > KEEP // 2:
+            self.early, self.late = self.late, {}
+        late, early = self.late, self.early
+        wanted = {s for x in split for s in x} - late.keys()
+        again = wanted & early.keys()
+        late.update((s, early[s]) for s in again)
+        found = self.encoded(wanted - again)
+        long = {s: v for s, v in found.items() if len(s) > LONG}
+        late.update((s, v) for s, v in found.items() if len(s) <= LONG)
         out = []
         for x in split:
-            got = [table.get(s) or found[s] for s in x]
-            out.append((sum(g[2] for g in got), b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[2]])))
+            got = [late[s] for s in x] if not long else [late.get(s) or long[s] for s in x]
+            ids = b"".join([g[0] for g in got])
+            out.append((len(ids) // 4, ids, b" ".join([g[1] for g in got if g[1]])))
         return out
 
 

@@ -35,7 +35,7 @@ def _hot(keys: DataFrame, rows: int) -> list[int]:
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, keep: str = "max", carry: tuple = ()) -> DataFrame:
     """One row per input row: _id, _text (normalised), _keep (identifier that stays), _size, _stays, and _row.
 
-    _row is a struct of the columns in carry. keep: "max" or "min" identifier. normalise: Column -> Column.
+    _row is a struct of the columns in carry; _null: the text was null. keep: "max" or "min" identifier. normalise: Column -> Column.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = normalise(text) if normalise else text
@@ -43,7 +43,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     hashed = df.select(text.alias("_text")).select(F.xxhash64("_text").alias("_h"))
     hot = _hot(hashed, df.count())
 
-    rows = df.select(F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row") if carry else F.lit(None).alias("_row"), F.col(text_col).isNull().alias("_null"), F.col(id_col).alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_h", F.xxhash64("_text")).withColumn("_p", F.substring("_text", 1, 12))
     salted = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
     spark = df.sparkSession
@@ -62,7 +62,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
         .withColumn("_n", F.count(F.lit(1)).over(run))
     )
     if not hot:
-        return ranked.select("_row", "_id", "_text", F.col("_lead").alias("_keep"), F.col("_n").alias("_size"), (F.col("_rank") == 1).alias("_stays"))
+        return ranked.select("_row", "_null", "_id", "_text", F.col("_lead").alias("_keep"), F.col("_n").alias("_size"), (F.col("_rank") == 1).alias("_stays"))
 
     # Rows of hot texts only, one for each cut run after the partial aggregation.
     cut = rows.filter("_s >= 0").groupBy("_h", "_text", "_s").agg(best("_id").alias("_lead"), F.count(F.lit(1)).alias("_n"))
@@ -71,7 +71,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
     out = ranked.join(F.broadcast(merged), ["_h", "_lead"], "left")
     keep_id = F.when(F.col("_s") >= 0, F.coalesce("_keep", "_lead")).otherwise(F.col("_lead"))
     return out.select(
-        "_row", "_id", "_text", keep_id.alias("_keep"), F.coalesce("_size", "_n").alias("_size"),
+        "_row", "_null", "_id", "_text", keep_id.alias("_keep"), F.coalesce("_size", "_n").alias("_size"),
         ((F.col("_rank") == 1) & F.col("_lead").eqNullSafe(keep_id)).alias("_stays"),
     )
 
@@ -89,7 +89,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     # The text travels once: as sorted, unless it was changed for the comparison.
     carry = tuple(c for c in df.columns if c != text_col or normalise)
     kept = annotate(df, id_col, text_col, normalise, keep, carry).filter("_stays")
-    whole = F.when(~F.col("_row._null"), F.col("_text")).alias(text_col)
+    whole = F.when(~F.col("_null"), F.col("_text")).alias(text_col)
     return kept.select(*[F.col(f"_row.`{c}`") if c in carry else whole for c in df.columns])
 
 

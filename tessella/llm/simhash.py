@@ -162,7 +162,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows of the same identifier stay or go together; rows without one stay.
     """
     gone = classes(df, id_col, text_col).filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def angle_gap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f05_ring_area", """
-WITH v AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(l_quantity AS BIGINT) AS x, l_partkey % 100 AS y FROM lineitem)
+WITH v AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(l_quantity AS BIGINT) AS x, l_partkey % 100 AS y FROM lineitem)
 SELECT a.k, CAST(sum(a.x * b.y - b.x * a.y) AS BIGINT) AS area2, sum(a.x * b.y - b.x * a.y) > 0 AS left_turning FROM v a JOIN v b ON a.k = b.k AND b.i = a.i % a.n + 1 GROUP BY a.k
 """)
 def ring_area(spark: SparkSession, sf_dir: str) -> DataFrame:

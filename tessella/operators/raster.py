@@ -6,6 +6,8 @@ tile borders without halos and need one exchange a round.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,86 @@ def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = [s for s in EIGHT if s > (0, 0)]
     edges = spread(m, ahead).withColumnRenamed("z", "src").join(m.withColumnRenamed("z", "dst"), ["ix", "iy"]).select("src", "dst")
     return components(edges, m.select(F.col("z").alias("node")))
+
+
+def fill_nearest(cells: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Null cells get the value of the nearest known one in king's moves; equal distances go to the smaller value."""
+    for _ in range(rounds):
+        about = spread(cells.filter("z IS NOT NULL"), EIGHT).groupBy("ix", "iy").agg(F.min("z").alias("m"))
+        state = saved(cells.join(about, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("z", "m").alias("z"), (F.col("z").isNull() & F.col("m").isNotNull()).alias("new")))
+        cells = state.drop("new")
+        if state.filter("new").limit(1).count() == 0:
+            break
+    return cells
+
+
+@query("r05_fill_nearest", None)
+def fill_nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_nearest(surface(spark, sf_dir))
+
+
+def shift(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Rows and columns by which b is moved against a: the peak of the phase correlation."""
+    cross = np.fft.fft2(b) * np.conj(np.fft.fft2(a))
+    peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
+    i, j = np.unravel_index(int(peak.argmax()), peak.shape)
+    return tuple(int(k - n if k > n // 2 else k) for k, n in zip((i, j), peak.shape, strict=True))
+
+
+def best_match(image: np.ndarray, template: np.ndarray) -> tuple[int, int, float]:
+    """Place and score of the best normalised cross-correlation of a template inside an image."""
+    windows = np.lib.stride_tricks.sliding_window_view(image, template.shape)
+    t = template - template.mean()
+    w = windows - windows.mean(axis=(2, 3), keepdims=True)
+    norm = np.sqrt((w * w).sum(axis=(2, 3)) * (t * t).sum())
+    score = np.where(norm > 1e-9, (w * t).sum(axis=(2, 3)) / np.maximum(norm, 1e-9), 0.0)
+    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    return int(i), int(j), float(score[i, j])
+
+
+def tiles(cells: DataFrame, size: int) -> DataFrame:
+    """Cells with the tile they lie in and their place in it. A tile holds size x size cells at most."""
+    return cells.select(F.floor(F.col("ix") / size).alias("tx"), F.floor(F.col("iy") / size).alias("ty"), (F.col("ix") % size).alias("i"), (F.col("iy") % size).alias("j"), "z")
+
+
+def _image(rows: pd.DataFrame, size: int) -> np.ndarray:
+    out = np.zeros((size, size))
+    out[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["z"].fillna(0).to_numpy()
+    return out
+
+
+@query("r07_template_match", None)
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tile of 16 x 16 cells: where a bright bar fits best."""
+    bar = np.array([[0, 1, 1, 0]] * 6, float)
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, score = best_match(_image(rows, 16), bar)
+        return pd.DataFrame({"tx": rows["tx"].iloc[:1], "ty": rows["ty"].iloc[:1], "i": [i], "j": [j], "score": [score]})
+
+    return tiles(surface(spark, sf_dir), 16).groupBy("tx", "ty").applyInPandas(match, "tx long, ty long, i long, j long, score double")
+
+
+@query("r10_phase_shift", None)
+def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tile: the shift between a raster and its copy moved by (3, -2) inside the tile."""
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        image = _image(rows, 16)
+        i, j = shift(image, np.roll(image, (3, -2), (0, 1)))
+        return pd.DataFrame({"tx": rows["tx"].iloc[:1], "ty": rows["ty"].iloc[:1], "di": [i], "dj": [j]})
+
+    return tiles(surface(spark, sf_dir), 16).groupBy("tx", "ty").applyInPandas(find, "tx long, ty long, di long, dj long")
+
+
+@query("r11_most_specific_zone", """
+WITH z AS (SELECT p_partkey AS id, p_size AS x0, p_size + 1 + p_partkey % 6 AS x1, p_partkey % 4 AS rank FROM part WHERE p_partkey % 3 = 0),
+q AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS ix FROM lineitem), h AS (SELECT q.ix, z.id, row_number() OVER (PARTITION BY q.ix ORDER BY z.rank DESC, z.x1 - z.x0, z.id) AS n FROM q JOIN z ON q.ix >= z.x0 AND q.ix < z.x1)
+SELECT ix, id FROM h WHERE n = 1
+""")
+def most_specific_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone of highest rank over a cell, the narrowest of those."""
+    z = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_size").cast("long").alias("x0"), (1 + F.col("p_partkey") % 6).alias("width"), (F.col("p_partkey") % 4).alias("rank"))
+    cells = z.withColumn("ix", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("width") - 1)))
+    places = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("ix")).distinct()
+    best = places.join(cells, "ix").groupBy("ix").agg(F.min(F.struct((-F.col("rank")).alias("r"), "width", F.col("p_partkey").alias("id"))).alias("m"))
+    return best.select("ix", "m.id")

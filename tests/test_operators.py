@@ -93,6 +93,16 @@ def test_holes_are_filled(spark):
     assert {r.z for r in raster.fill(cells).collect()} == {7}
 
 
+def test_nearest_fill_and_matching(spark):
+    cells = spark.createDataFrame([(x, 0, {0: 5, 6: 2}.get(x)) for x in range(7)], "ix long, iy long, z long")
+    assert [r.z for r in raster.fill_nearest(cells).orderBy("ix").collect()] == [5, 5, 5, 2, 2, 2, 2]
+    rng = np.random.default_rng(1)
+    image = rng.normal(size=(16, 16))
+    assert raster.shift(image, np.roll(image, (3, -2), (0, 1))) == (3, -2)
+    i, j, score = raster.best_match(image, image[4:8, 5:10] * 2 + 1)
+    assert (i, j) == (4, 5) and abs(score - 1) < 1e-9
+
+
 def test_lines():
     zigzag = [(x, 0.1 * (x % 2)) for x in range(11)]
     assert lines.simplified(zigzag, 0.2) == [zigzag[0], zigzag[-1]]

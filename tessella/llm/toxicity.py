@@ -6,8 +6,8 @@ all of them; the output is the expected grade, sum of P(grade > k). Features: lo
 serve as stems; scaled to length one per document.
 
 Grades. The labels table only says yes or no. The operator itself takes any number of grades; the
-query derives three: 0 for a no, and 1 or 2 for a yes, split at the median of how densely the document uses words that
-the labelled sample ties to a yes (log odds with a smoothing of 1).
+query derives three: 0 for a no, and 1 or 2 for a yes, split at the median of how densely the document uses features that
+the labelled sample ties to a yes (log odds over 2, with a smoothing of 1).
 
 Fitting uses a bounded sample of labelled documents, SAMPLE per label, picked by a hash of the
 identifier (behaves alike at every size); only features of MIN_DOCS sampled documents or more whose share differs between the labels by MIN_SCORE
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, rowwise, texts
+from .common import documents, durable, rowwise, texts
 
 SAMPLE = 2500
 MIN_DOCS = 4
-MAX_FEATURES = 50_000
+MAX_FEATURES = 5_000
 MAX_FALSE = 0.002
 MIN_CUT = 0.05
 STEM = 5
@@ -115,45 +115,10 @@ def fit(x: Sparse, grade: np.ndarray, size: int, rounds: int = 150, rate: float
     return p[:size], p[size] + np.concatenate(([0.0], np.cumsum(np.exp(p[size + 1 :]))))
 
 
-def severity(counts: list[Counter], yes: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from yes/no labels, as the module says."""
-    inside, outside = Counter(), Counter()
-    for c, y in zip(counts, yes, strict=True):
-        (inside if y else outside).update(c.keys())
-    n, m = max(1, int(yes.sum())), max(1, int((~yes).sum()))
-    odds = {w: math.log((k + 1) / (n + 2) / ((outside[w] + 1) / (m + 2))) for w, k in inside.items() if k >= MIN_DOCS}
-    density = np.array([sum(k for w, k in c.items() if odds.get(w, 0.0) > 2.0) / max(1, sum(c.values())) for c in counts])
-    middle = np.median(density[yes]) if yes.any() else 0.0
-    return np.where(yes, 1 + (density > middle), 0).astype(np.int64)
-
-
-def informative(counts: list[Counter], yes: np.ndarray) -> list[bytes]:
-    """Features whose documents' share differs between the labels by MIN_SCORE standard errors, the strongest first."""
-    inside, outside = Counter(), Counter()
-    for c, y in zip(counts, yes, strict=True):
-        (inside if y else outside).update(c.keys())
-    n, m = int(yes.sum()), int((~yes).sum())
-    strength = {}
-    for w in inside.keys() | outside.keys():
-        a, b = inside[w], outside[w]
-        if a + b >= MIN_DOCS:
-            share = (a + b) / (n + m)
-            error = math.sqrt(max(share * (1 - share), 1e-9) * (1 / n + 1 / m))
-            if (s := abs(a / n - b / m) / error) >= MIN_SCORE:
-                strength[w] = s
-    return sorted(strength, key=lambda w: (-strength[w], w))[:MAX_FEATURES]
-
-
-def train(counts: list[Counter], grade: np.ndarray) -> Ordinal:
-    """The model of a labelled sample, its cut-off by cross-validation."""
-    if len(counts) == 0 or grade.max(initial=0) == 0 or (grade > 0).all():
+def train(rows: list[dict[int, float]], grade: np.ndarray, known: list[bytes]) -> Ordinal:
+    """The model of a labelled sample, its cut-off by cross-validation. rows: values by column of known."""
+    if not known or len(rows) == 0 or grade.max(initial=0) == 0 or (grade > 0).all():
         return Ordinal()
-    known = informative(counts, grade > 0)
-    column = {w: k for k, w in enumerate(known)}
-    rows = []
-    for c in counts:
-        norm = math.sqrt(sum(math.log1p(k) ** 2 for k in c.values())) or 1.0
-        rows.append({column[w]: math.log1p(k) / norm for w, k in c.items() if w in column})
     fold = np.arange(len(rows)) % FOLDS
     out = np.zeros(len(rows))
     levels = int(grade.max())
@@ -164,41 +129,60 @@ def train(counts: list[Counter], grade: np.ndarray) -> Ordinal:
     clean = np.sort(out[grade == 0])
     cut = max(MIN_CUT * levels, clean[min(len(clean) - 1, int(len(clean) * (1 - MAX_FALSE)))])
     w, theta = fit(Sparse(rows), grade, len(known))
-    return Ordinal({t: float(w[k]) for t, k in column.items() if abs(w[k]) > 1e-4}, theta.tolist(), float(cut))
+    return Ordinal({t: float(w[k]) for k, t in enumerate(known) if abs(w[k]) > 1e-4}, theta.tolist(), float(cut))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int) -> tuple[list[Counter], np.ndarray]:
-    """Features and labels of at most per_label labelled documents of each label, in the order of a hash."""
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
+    """id, y and text of at most per_label labelled documents of each label, the first in the order of a hash."""
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
-    body = texts(docs, id_col, text_col).toDF("id", "text")
-    # As many identifiers again are drawn, since some may have no document (left).
-    drawn = [named.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(4 * per_label) for k in (0, 1)]
-    wanted = F.broadcast(drawn[0].union(drawn[1]))
+    here = named.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    drawn = [here.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(per_label) for k in (0, 1)]
+    return texts(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "id")
+
+
+def informative(counted: DataFrame) -> list[tuple[bytes, int, int]]:
+    """Features whose documents' share differs between the labels by MIN_SCORE standard errors, the strongest first, with their documents by label."""
+    m, n = (counted.filter(F.col("y") == k).count() for k in (0, 1))
+    if not n or not m:
+        return []
+    seen = counted.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_DOCS)
+    b, share = F.col("k") - F.col("a"), F.col("k") / (n + m)
+    strength = F.abs(F.col("a") / n - b / m) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n + 1 / m))
+    top = seen.withColumn("s", strength).filter(F.col("s") >= MIN_SCORE).orderBy(F.col("s").desc(), "w").limit(MAX_FEATURES)
+    return [(bytes(r["w"]), r["a"], r["k"] - r["a"]) for r in top.collect()]
+
+
+def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
+    """Features are counted and picked on the executors; the driver gets the picked ones of the sample only."""
     schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
 
-    def kernel(ids, bodies, ys):
+    def count(ids, bodies, ys):
         for i, body, y in zip(ids, bodies, ys, strict=True):
             c = features(body)
             yield i, y, list(c), list(c.values())
 
-    found = body.join(wanted, "id").select("id", "text", "y")
-    counted = found.mapInArrow(rowwise(kernel, schema), "id long, y int, words array<binary>, counts array<int>")
-    out: list[Counter] = []
-    ys: list[int] = []
-    picked = [counted.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id", F.xxhash64("words")).limit(per_label) for k in (0, 1)]
-    for r in picked[0].union(picked[1]).toLocalIterator():
-        out.append(Counter(dict(zip(map(bytes, r["words"]), r["counts"], strict=True))))
-        ys.append(r["y"])
-    return out, np.array(ys, np.int64)
-
-
-def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
-    counts, yes = sampled(docs, labels, label_col, id_col, text_col, SAMPLE)
-    if not len(yes):
-        return Ordinal()
-    order = np.random.default_rng(0).permutation(len(yes))  # labels mixed over the folds
-    counts, yes = [counts[k] for k in order], yes[order] == 1
-    return train(counts, severity(counts, yes))
+    found = sample(docs, labels, label_col, id_col, text_col, SAMPLE).select("id", "text", "y")
+    counted = durable(found.mapInArrow(rowwise(count, schema), "id long, y int, words array<binary>, counts array<int>"))
+    known = informative(counted)
+    n, m = (counted.filter(F.col("y") == k).count() for k in (1, 0))
+    column = {w: k for k, (w, _, _) in enumerate(known)}
+    telling = {k for k, (_, a, b) in enumerate(known) if math.log((a + 1) / (n + 2)) - math.log((b + 1) / (m + 2)) > 2.0}
+    picked = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("columns", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("density", pa.float64())])
+
+    def pick(ids, ys, words, counts):
+        for i, y, w, c in zip(ids, ys, words, counts, strict=True):
+            norm = math.sqrt(sum(math.log1p(k) ** 2 for k in c)) or 1.0
+            own = [(column[x], k) for x, k in zip(w, c, strict=True) if x in column]
+            yield i, y, [x for x, _ in own], [math.log1p(k) / norm for _, k in own], sum(k for x, k in own if x in telling) / max(1, sum(c))
+
+    rows = counted.mapInArrow(rowwise(pick, picked), "id long, y int, columns array<int>, values array<double>, density double").collect()
+    rows.sort(key=lambda r: (r["id"], r["y"], r["density"]))
+    rows = [rows[k] for k in np.random.default_rng(0).permutation(len(rows))]  # labels mixed over the folds
+    yes = np.array([r["y"] == 1 for r in rows], bool)
+    density = np.array([r["density"] for r in rows])
+    middle = np.median(density[yes]) if yes.any() else 0.0
+    grade = np.where(yes, 1 + (density > middle), 0).astype(np.int64)
+    return train([dict(zip(r["columns"], r["values"], strict=True)) for r in rows], grade, [w for w, _, _ in known])
 
 
 def score(docs: DataFrame, fitted: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,9 +15,9 @@ theirs):
 
 Documents that equal an earlier one as a whole sequence of words skip step 3: all of their words go (50 words or more).
 
-Scale: steps 1 and 2 are pre-aggregated counts joined back; adaptive execution splits hot anchors in
-the joins. Windows whose 25-word part occurs over HOT times take the same way in step 3; for others, whose groups are so
-bounded, one exchange and a window function do. Nothing but rows of about 20 bytes is
+Scale: steps 1 and 2 are pre-aggregated counts joined back, hot hashes (4096 at most) salted. Step 3
+is one exchange and a window function; a window whose 25-word part occurs over HOT times has a salt for each HOT of
+them, and its first document, pre-aggregated, is told to every salt. Nothing but rows of about 20 bytes is
 shuffled, besides the texts: once to meet their marks and once to meet their removals. Lineage is cut between the steps.
 
 Defined cases: null text has no words; texts under 50 words lose nothing; identifiers that repeat are
@@ -33,12 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, durable, release, slices, texts
 
 HOT = 10_000
+HOT_PARTS = 4096
 SLICE = 2 << 20
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -155,8 +156,29 @@ def anchor_rows(parts, hashes: WordHashes, window: int):
     )
 
 
+def own_counts(hs: np.ndarray, seen: np.ndarray, small: int, half: int, window: int) -> np.ndarray:
+    """Of each window: the rarer of its own anchor's extensions that lie in it, 0 if one is not shared.
+
+    This depends on the window's words alone, so equal windows of any documents get equal counts.
+    seen: occurrences of the shared half windows by place, 0 elsewhere.
+    """
+    anchor = np.arange(len(hs))
+    have, size = 1, window - small + 1
+    while have < size:  # place of the least hash, the leftmost on a tie
+        step = min(have, size - have)
+        a, b = anchor[:-step], anchor[step:]
+        anchor = np.where(hs[a] <= hs[b], a, b)
+        have += step
+    start = np.arange(len(anchor))
+    left = anchor - (half - small)
+    many = np.iinfo(np.int64).max
+    by_left = np.where(left >= start, seen[np.maximum(left, 0)], many)
+    by_right = np.where(anchor + half <= start + window, seen[anchor], many)
+    return np.minimum(by_left, by_right)
+
+
 ANCHORS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("hl", pa.int64()), ("hr", pa.int64())])
-WINDOWS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("ha", pa.int64()), ("hb", pa.int32()), ("hot", pa.bool_())])
+WINDOWS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("ha", pa.int64()), ("hb", pa.int32()), ("salts", pa.int32())])
 META = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 DONE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
@@ -187,7 +209,7 @@ def _meta(batches):
 
 
 def _windows(window: int):
-    _, half, _ = lengths(window)
+    small, half, _ = lengths(window)
 
     def run(batches):
         hashes = WordHashes()
@@ -199,20 +221,16 @@ def _windows(window: int):
                     marks[i] = piece.column(2)[k].values.to_numpy(), piece.column(3)[k].values.to_numpy()
                 for i, base, words in segments(ids, piece.column(1).to_pylist(), window):
                     at, many = marks[i]
-                    n = len(words) - window + 1
-                    count = np.full(n, np.iinfo(np.int64).max)
-                    there = np.zeros(n + 1, np.int64)
-                    lo, hi = np.clip(at - (window - half) - base, 0, n), np.clip(at + 1 - base, 0, n)
-                    np.add.at(there, lo, 1)
-                    np.add.at(there, hi, -1)
-                    for a, b, m in zip(lo.tolist(), hi.tolist(), many.tolist(), strict=True):
-                        np.minimum(count[a:b], m, out=count[a:b])
-                    pos = np.flatnonzero(np.cumsum(there)[:-1] > 0)
+                    here = (at >= base) & (at < base + len(words))
+                    seen = np.zeros(len(words), np.int64)
+                    seen[at[here] - base] = many[here]
+                    h = hashes.of(words)
+                    count = own_counts(rolled(h, small), seen, small, half, window)
+                    pos = np.flatnonzero(count > 0)
                     if len(pos):
-                        h = hashes.of(words)
                         yield pa.RecordBatch.from_arrays([
                             pa.array(np.full(len(pos), i)), pa.array((pos + base).astype(np.int32)), pa.array(rolled(h, window)[pos].view(np.int64)),
-                            pa.array((rolled(h, window, K2)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(count[pos] > HOT),
+                            pa.array((rolled(h, window, K2)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((count[pos] // HOT + 1).astype(np.int32)),
                         ], schema=WINDOWS)
 
     return run
@@ -253,10 +271,31 @@ def _clean(window: int, outputs: bool):
     return run
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs in two documents or more, with the number of rows of the key as n."""
-    seen = rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-    return rows.join(seen.drop("hi"), keys)
+def _salt(salts) -> Column:
+    return F.pmod(F.xxhash64("id"), salts).cast("int")
+
+
+def _each(salts) -> Column:
+    return F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose hash h occurs in two documents or more, with the number of rows of the hash as n.
+
+    A hash with over HOT rows and over 1/HOT_PARTS of the shared ones, so one of HOT_PARTS at most, is
+    dealt out to a salt for each HOT of its rows.
+    """
+    seen = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "n")
+    seen = durable(seen)
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    hot = [(r["h"], r["n"] // HOT + 1) for r in seen.filter(F.col("n") > max(HOT, total // HOT_PARTS)).collect()]
+    if not hot:
+        return rows.join(seen, "h")
+    known = F.broadcast(rows.sparkSession.createDataFrame(hot, "h long, salts long"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(known, "h", "left").withColumn("salt", _salt(salts)).drop("salts")
+    right = seen.join(known, "h", "left").select("h", "n", _each(salts).alias("salt"))
+    return left.join(right, ["h", "salt"]).drop("salt")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, outputs: bool = False) -> DataFrame:
@@ -270,20 +309,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = durable(meta.join(first, ["a", "b", "n"]).filter("id > lo").select("id").distinct())
 
     anchors = body.mapInArrow(_anchors(window), "id long, pos int, h long, hl long, hr long")
-    again = durable(_shared(anchors, ["h"]).select("id", "pos", "hl", "hr"))
+    again = durable(_shared(anchors).select("id", "pos", "hl", "hr"))
     release(spark)
     sides = F.array(F.struct((F.col("pos") - (half - small)).alias("pos"), F.col("hl").alias("h")), F.struct("pos", F.col("hr").alias("h")))
     longer = again.select("id", F.explode(sides).alias("e")).filter("e.h IS NOT NULL").select("id", "e.pos", "e.h").distinct()
-    kept = _shared(longer, ["h"]).join(copies, "id", "left_anti")
+    kept = _shared(longer).join(copies, "id", "left_anti")
     marks = durable(kept.groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("m")).select("id", F.col("m.pos").alias("at"), F.col("m.n").alias("many")))
     release(spark)
 
-    found = body.join(marks, "id").mapInArrow(_windows(window), "id long, pos int, ha long, hb int, hot boolean")
-    cold = found.filter("NOT hot").withColumn("lo", F.min("id").over(Window.partitionBy("ha", "hb")))
-    over = cold.filter("id > lo").select("id", "pos")
-    hot_seen = marks.filter(F.exists("many", lambda m: m > HOT)).limit(1).count()
-    if hot_seen:
-        over = over.union(_shared(found.filter("hot").drop("hot"), ["ha", "hb"]).filter("id > lo").select("id", "pos"))
+    found = body.join(marks, "id").mapInArrow(_windows(window), "id long, pos int, ha long, hb int, salts int")
+    rows = found.select("id", "pos", "ha", "hb", _salt(F.col("salts")).alias("salt"))
+    if marks.filter(F.exists("many", lambda m: m > HOT)).limit(1).count():
+        # The first document of each hot window is told to all its salts, as rows without a place.
+        first = found.filter("salts > 1").groupBy("ha", "hb", "salts").agg(F.min("id").alias("id"))
+        told = first.select("id", F.lit(None).cast("int").alias("pos"), "ha", "hb", _each(F.col("salts")).alias("salt"))
+        rows = rows.unionByName(told)
+    over = rows.withColumn("lo", F.min("id").over(Window.partitionBy("ha", "hb", "salt"))).filter("pos IS NOT NULL AND id > lo").select("id", "pos")
     gone = durable(over.groupBy("id").agg(F.collect_list("pos").alias("gone")))
     release(spark)
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
-from tessella.llm import exact_dedup, simhash, substring_dedup
+from tessella.llm import exact_dedup, near_dedup, simhash, substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -170,3 +170,52 @@ def test_simhash_drops_all_but_one(docs, clashing, odd_rows):
     assert out.columns == df.columns
     assert {1, 4, 6} <= {r.doc_id for r in out.select("doc_id").collect()} and not {2, 3, 5, 7, 8, 10, 11} & {r.doc_id for r in out.select("doc_id").collect()}
     assert simhash.classes(docs([])).count() == 0
+
+
+def shingle_sets(rows):
+    split = {i: WORDS((t or "").lower()) for i, t in rows}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in split.items()}
+
+
+def near_by_brute_force(rows):
+    """Smallest identifier reachable over pairs of similarity 0.8 or more."""
+    sets = shingle_sets(rows)
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            least = min(label[a], label[b])
+            changed |= label[a] != label[b]
+            label[a] = label[b] = least
+    return label
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_near_copies_of_similarity_08(docs, odd_rows, hot, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    rnd = random.Random(11)
+    base = [prose(rnd, n).split() for n in (20, 60, 250, 450)]
+    rows = [r for r in odd_rows if r[0] != 10]
+    for k in range(120):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randrange(1 + len(words) // 30)):
+            words[rnd.randrange(len(words))] = f"changed{rnd.randrange(9)}"
+        rows.append((100 + k, " ".join(words)))
+    rows += [(300 + k, prose(rnd, 200) + " one very common line of a few words") for k in range(40)]
+    want = near_by_brute_force(rows)
+    got = {r.id: r.component for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == want
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(None, docs(rows), None).collect()}
+    assert kept == {i for i, c in want.items() if c == i}
+
+
+def test_near_copies_keep_columns(docs, clashing, odd_rows):
+    df = clashing(odd_rows)
+    out = near_dedup.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [1, 4, 6, 9]
+    assert near_dedup.drop_near_copies(docs([])).count() == 0

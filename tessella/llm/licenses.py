@@ -1,7 +1,7 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or overlapping windows of 128 words of a longer one, so that a notice of up to 64 words
-lies in one block whole. A block meets a template when it contains THRESHOLD of the
+Blocks are overlapping windows of 128 words over the words of the whole text, so that a notice of up to 64 words
+lies in one block whole, however its lines are wrapped. A block meets a template when it contains THRESHOLD of the
 template's distinct words or more. The join is exact and indexed on the templates:
 
 - global order: words by their number of blocks over all documents, rarest first (one counting pass;
@@ -62,10 +62,9 @@ def words(text: bytes) -> list[bytes]:
     return WORDS(text.lower())
 
 
-def blocks(lines: list[list[bytes]]):
-    for line in lines:
-        for at in range(0, max(1, len(line) - BLOCK // 2), BLOCK // 2):
-            yield line[at : at + BLOCK]
+def blocks(all_words: list[bytes]):
+    for at in range(0, max(1, len(all_words) - BLOCK // 2), BLOCK // 2):
+        yield all_words[at : at + BLOCK]
 
 
 class Templates:
@@ -135,10 +134,8 @@ def block_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: frozense
         for batch in batches:
             for piece in slices(batch, 8 << 20):
                 for body in piece.column(1).to_pylist():
-                    lower = body.lower()
-                    for line in lower.split(b"\n"):
-                        for block in blocks([WORDS(line)]):
-                            n.update(vocabulary.intersection(block))
+                    for block in blocks(words(body)):
+                        n.update(vocabulary.intersection(block))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n]), pa.array(list(n.values()))], schema=schema)
 
@@ -156,10 +153,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     def kernel(ids, bodies):
         for i, body in zip(ids, bodies, strict=True):
-            lines = [WORDS(x) for x in body.lower().split(b"\n")]
-            flat = [w for x in lines for w in x]
+            flat = words(body)
             base = places(flat)
-            found = [m for b in blocks(lines) for m in index.matches(b)]
+            found = [m for b in blocks(flat) for m in index.matches(b)]
             labels = {label for _, label in base}
             starts = [at for at, _ in base]
             yield (

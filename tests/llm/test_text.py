@@ -266,3 +266,13 @@ def test_pii_keeps_columns(clashing, odd_rows, docs):
     out = pii.replace_entities(df, length_col="n_chars")
     assert out.columns == df.columns and out.count() == len(odd_rows)
     assert pii.report(docs([])).count() == 0
+
+
+def test_wrapped_notices_are_found(docs):
+    notices = [(label, text) for label, text in licenses.TEMPLATES if len(text.split()) >= 12]
+    rows = []
+    for k, (_, text) in enumerate(notices):
+        words = text.split()
+        rows.append((k, "# file header\n" + "\n".join("# " + " ".join(words[at : at + 5]) for at in range(0, len(words), 5))))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(rows)).collect()}
+    assert all(label in got[k] for k, (label, _) in enumerate(notices))

@@ -63,15 +63,24 @@ ENTITY = re.compile(
         r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
         r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
         r"(?P<card>(?<![\d.])\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}(?!\d))",
-        r"(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+[2-9]\d{0,2}[ .-]\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]))",
+        r"(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+[2-9]\d{0,2}[ .-]\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d-])|\+[2-9]\d{6,14}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])|(?<![\d.-])(?<!\d )\d{3} \d{3} \d{4}(?![\d.-])(?! \d))",
         r"(?P<secret>(?<=[=:\"' ])(?<![\w-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w-]))",
     ])
 )
 LOCAL = re.compile(r"[^\W_][\w.+-]{0,63}\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<!-)")
-KEYED = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password)\b[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/-]{12,256})")
+# A secret runs to its delimiter. After a password's key it may be short and hold other signs; within quotes, blanks too.
+KEYED = re.compile(
+    r"(?i)(?<![^\W_])(?:"
+    r"(?:api[_-]?key|access[_-]?key|secret|token)\b[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_+/.~=-]{11,}[A-Za-z0-9_+/~=-])"
+    r"|password\b[\"']?\s*[=:]\s*(?:\"(?P<double>[^\"\n]{4,})\"|'(?P<single>[^'\n]{4,})'|(?P<bare>[^\s\"',;<>]{3,}[^\s\"',;<>.)\]}]))"
+    r")"
+)
+# Country codes that no separator ends: 1, 7, the codes of two digits, else three.
+COUNTRY = re.compile(r"\+(?:1|\d{1,3}(?=[ .-])|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+PART = 256
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'-]+"
-NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?P<titled>{CAPITAL}(?: {CAPITAL})?)|(?P<listed>(?:{NAMED}) {CAPITAL}))")
+NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\.? (?P<titled>{CAPITAL}(?: {CAPITAL})*)|(?P<listed>(?:{NAMED})(?: {CAPITAL})+))")
 RARE = b"0123456789@"
 
 
@@ -83,7 +92,7 @@ def find(text: str, marked: bool = True) -> list[tuple[int, int, str, str]]:
             if local := LOCAL.search(text, max(0, at.start() - 64), at.start()):
                 found.append((local.start(), at.end(), "email", ""))
         found += [(*m.span(m.lastgroup if m.lastgroup != "gap" else "card"), "card" if m.lastgroup == "gap" else m.lastgroup, "") for m in ENTITY.finditer(text)]
-    found += [(*m.span("secret"), "secret", "") for m in KEYED.finditer(text)]
+    found += [(*m.span(m.lastgroup), "secret", "") for m in KEYED.finditer(text)]
     for m in NAME.finditer(text):
         part = "titled" if m["titled"] else "listed"
         found.append((*m.span(part), "name", TITLES.get(m["title"] or "", "")))
@@ -106,6 +115,8 @@ class Surrogates:
 
     def _round(self, tweak: str, n: int, half: int, size: int) -> int:
         data = f"{tweak}|{n}|{half}".encode()
+        if size.bit_length() > 128:  # 24 bytes would leave the upper symbols of a long half as they are
+            return int.from_bytes(hashlib.shake_256(self.key + b"|" + data).digest(size.bit_length() // 8 + 17), "big") % size
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=24).digest(), "big") % size
 
     def number(self, x: int, left: int, right: int, tweak: str) -> int:
@@ -118,6 +129,8 @@ class Surrogates:
 
     def sequence(self, symbols: list[int], radix: int, tweak: str) -> list[int]:
         n = len(symbols)
+        if n > PART:  # long secrets part by part, so that the work is linear
+            return [d for at in range(0, n, PART) for d in self.sequence(symbols[at : at + PART], radix, f"{tweak}|{n}|{at}")]
         x = functools.reduce(lambda s, d: s * radix + d, symbols, 0)
         tweak = f"{tweak}|{n}|{radix}"
         if n == 1:
@@ -168,7 +181,7 @@ class Surrogates:
             new.append((luhn(new) + digits[-1] - luhn(digits[:-1])) % 10)
             return refill(text, new)
         if kind == "phone":
-            code = re.match(r"\+(?:1|\d{1,3}(?=[ .-]))", text)
+            code = COUNTRY.match(text)
             keep = code.end() if code else 0
             new = self.sequence([int(c) for c in text[keep:] if c.isdigit()], 10, f"{tweak}|{text[:keep]}")
             return text[:keep] + refill(text[keep:], new)
@@ -193,7 +206,8 @@ class Surrogates:
             at = [i for i, c in enumerate(text) if c in alphabet]
             if at:
                 new = self.sequence([alphabet.index(text[i]) for i in at], 26, f"{tweak}|{k}")
-                out = "".join(alphabet[new[at.index(i)]] if i in at else c for i, c in enumerate(out))
+                put = dict(zip(at, new, strict=True))
+                out = "".join(alphabet[put[i]] if i in put else c for i, c in enumerate(out))
         return out
 
 

@@ -276,3 +276,17 @@ def test_wrapped_notices_are_found(docs):
         rows.append((k, "# file header\n" + "\n".join("# " + " ".join(words[at : at + 5]) for at in range(0, len(words), 5))))
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(rows)).collect()}
     assert all(label in got[k] for k, (label, _) in enumerate(notices))
+
+
+def test_entities_are_taken_whole():
+    long, jwt = "aB3" * 400, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJ-_x"
+    found = {
+        f"token={long} end": long, f"token: {jwt}.": jwt, "password: hunter2!x": "hunter2!x", "password = 'my pass phrase'": "my pass phrase", "client_secret=abcdefghijkl9": "abcdefghijkl9",
+        "Dr. Anna Maria Schmidt came": "Anna Maria Schmidt", "call +442071234567 or": "+442071234567", "+4915112345678": "+4915112345678", "call 555 123 4567 now": "555 123 4567",
+    }
+    makers = pii.Surrogates(b"key")
+    for text, entity in found.items():
+        assert [text[a:b] for a, b, _, _ in pii.find(text)] == [entity]
+    assert makers.of("phone", "+442071234567").startswith("+44") and makers.of("phone", "+4915112345678").startswith("+49")
+    new = makers.of("secret", long)
+    assert len(new) == len(long) and all(new[k : k + 20] != long[k : k + 20] for k in range(0, len(long), 20))

@@ -225,3 +225,10 @@ def test_sinks(spark, tmp_path):
     digests = lambda d: sorted(map(tuple, sinks.manifest(d, "name", ["id", "x"]).collect()))
     assert digests(df) == digests(df.orderBy("id"))
     assert sinks.markdown(df.select("id").orderBy("id")).splitlines()[2:] == ["1", "2"]
+
+
+def test_every_customer_is_simulated(spark, small):
+    from tessella.catalog import QUERIES
+
+    out = QUERIES["t06_micro_simulation"](spark, small)
+    assert out.count() == spark.read.parquet(f"{small}/customer.parquet").count() == out.select("corridor", "block", "vehicle").distinct().count()

@@ -319,7 +319,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = body.join(marks, "id").mapInArrow(_windows(window), "id long, pos int, ha long, hb int, salts int")
     rows = found.select("id", "pos", "ha", "hb", _salt(F.col("salts")).alias("salt"))
-    if marks.filter(F.exists("many", lambda m: m > HOT)).limit(1).count():
+    if marks.filter(F.exists("many", lambda m: m >= HOT)).limit(1).count():
         # The first document of each hot window is told to all its salts, as rows without a place.
         first = found.filter("salts > 1").groupBy("ha", "hb", "salts").agg(F.min("id").alias("id"))
         told = first.select("id", F.lit(None).cast("int").alias("pos"), "ha", "hb", _each(F.col("salts")).alias("salt"))

@@ -219,3 +219,13 @@ def test_near_copies_keep_columns(docs, clashing, odd_rows):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [1, 4, 6, 9]
     assert near_dedup.drop_near_copies(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("places", [4, 6, 9])
+def test_substring_largest_count_equals_hot(docs, places, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", places)
+    rnd = random.Random(12)
+    shared = prose(rnd, 60)
+    rows = [(k, f"{prose(rnd, 20)} {shared} {prose(rnd, 20)}") for k in range(places)]
+    got = substring_dedup.remove_repeats(docs(rows)).collect()
+    assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, 50)

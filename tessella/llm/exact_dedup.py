@@ -7,10 +7,15 @@ each run stays. Prefix and hash only route rows: texts are equal when all their
 
 Skew: a text whose copies exceed 1/4096 of all rows is salted by its identifier, so that its run is
 cut into many; there are at most 4096 such texts. The leaders of the cut runs are then merged by
-whole text, and their table (at most 4096 texts x 64 salts, a few MB) is broadcast.
+whole text, and the result (a row a text, at most 4096, named by hash and SHA-256) is broadcast. Rows of one
+identifier, and rows without one, have one salt, so one cut run of a text holds its best identifier.
+
+Range keys are bounded because Spark's splitters are sampled rows that reach the driver: whole
+texts as keys would bring it megabytes a row.
 
 Defined cases: null text counts as empty. Rows with the same text and the same identifier: one
-stays. A null identifier loses to any other. An empty table gives an empty result.
+stays. A null identifier loses to any other; where all are null, one row stays. Texts of any length are
+compared whole. An empty table gives an empty result. Further columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,11 +70,11 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", norm
         return ranked.select("_row", "_null", "_id", "_text", F.col("_lead").alias("_keep"), F.col("_n").alias("_size"), (F.col("_rank") == 1).alias("_stays"))
 
     # Rows of hot texts only, one for each cut run after the partial aggregation.
+    digest = F.when(F.col("_s") >= 0, F.sha2(F.col("_text").cast("binary"), 256)).alias("_d")
     cut = rows.filter("_s >= 0").groupBy("_h", "_text", "_s").agg(best("_id").alias("_lead"), F.count(F.lit(1)).alias("_n"))
-    whole = cut.groupBy("_h", "_text").agg(best("_lead").alias("_keep"), F.sum("_n").alias("_size"), F.collect_list("_lead").alias("_leads"))
-    merged = whole.select("_h", "_keep", "_size", F.explode("_leads").alias("_lead"))
-    out = ranked.join(F.broadcast(merged), ["_h", "_lead"], "left")
-    keep_id = F.when(F.col("_s") >= 0, F.coalesce("_keep", "_lead")).otherwise(F.col("_lead"))
+    merged = cut.groupBy("_h", "_text").agg(best("_lead").alias("_keep"), F.sum("_n").alias("_size")).select("_h", F.sha2(F.col("_text").cast("binary"), 256).alias("_d"), "_keep", "_size")
+    out = ranked.withColumn("_d", digest).join(F.broadcast(merged), ["_h", "_d"], "left")
+    keep_id = F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_lead"))
     return out.select(
         "_row", "_null", "_id", "_text", keep_id.alias("_keep"), F.coalesce("_size", "_n").alias("_size"),
         ((F.col("_rank") == 1) & F.col("_lead").eqNullSafe(keep_id)).alias("_stays"),

@@ -4,21 +4,24 @@ Fingerprint. A-Z is lower-cased, words are runs of anything but the six ASCII sp
 3 words joined by one space, repeats included (fewer words: the whole sequence; none: fingerprint
 zero). A bit is 1 if set in over half of the shingles' XXH64 (seed 42).
 
-Search. Equal fingerprints are collapsed first, so that copies never form pairs. The 64 bits are
-split into four blocks; two fingerprints that differ in 2 bits or fewer agree on two blocks at
-least, so each is filed under the 6 pairs of its blocks. Each carries its precomputed Hamming
-distances to 16 reference fingerprints (pivots). Within a bucket, pairs whose distances to some pivot
-differ by over 2 are discarded (the triangle inequality: no link is lost), and the survivors are
-verified on the fingerprints. Pivots alone would leave a quadratic search: the distances of random
-64-bit prints crowd round 32. Buckets of over 32 fingerprints (clusters of near copies) make no pairs:
-there each print is filed under itself and its 32 one-bit variants in the free blocks; prints that
-share a variant are within 2 bits of each other, and each is linked to the smallest, which keeps
-every component whole at 33 rows a print. The same pivot test and verification follow.
+Search. Equal fingerprints are collapsed first, so that copies never form pairs. The table holds each
+print's Hamming distances to 33 reference fingerprints (pivots): a base, and for each of the four
+16-bit groups eight that differ from the base in 8 bits of that group alone. What a pivot's distance differs by
+from the base's is therefore a coordinate of one group, and two prints within 2 bits have equal coordinates in
+two groups at least. Candidates are the pairs that share such a cell (16 coordinates, six choices of
+groups). Of these, pairs are discarded whose distances to some pivot differ by over 2 (the triangle
+inequality: no link is lost), and the survivors are verified on the fingerprints. funnel() counts them step by step.
+
+Cells of over 32 prints (clusters of near copies) make no pairs: there each print is filed under itself
+and its one-bit variants in the groups that the cell leaves open; prints that share a variant are within 2 bits of each
+other, and each is linked to the smallest, which keeps every component whole at 33 rows a print. The
+same pivot test and verification follow.
 
 Components: alternating large-star and small-star rounds over the links, lineage cut by checkpoints.
 
-Defined cases: null and wordless texts get fingerprint zero and are linked like any other. Rows of
-the same identifier keep a row each. A null identifier takes part, but cannot be a component's name.
+Defined cases: null and wordless texts get fingerprint zero and are linked like any other. Very long
+texts are hashed in parts of CHUNK shingles. Rows of the same identifier keep a row each. A null identifier takes part, but
+cannot be a component's name. An empty table gives an empty result. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, rowwise, texts
+from .common import checkpointed, discard, documents, durable, rowwise, texts
 
 SEED = 42
-PIVOTS = 16
+GROUPS, MASKS, MASK_BITS = 4, 8, 8
+BITS = 2
 BUCKET = 32
 CHUNK = 1 << 18
 
@@ -68,31 +72,81 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts(df, id_col, text_col).mapInArrow(rowwise(kernel, schema), "id long, fp long")
 
 
-def _pivots() -> list[int]:
-    """Reference fingerprints by rule: XXH64 of their number."""
-    return [xxhash.xxh64_intdigest(str(k), SEED) - (1 << 63) for k in range(PIVOTS)]
+def signed(x: int) -> int:
+    return x - (1 << 64) * (x >> 63)
+
+
+def pivots() -> list[int]:
+    """Reference fingerprints by rule: a base, then MASKS for each group of 16 bits, which differ from it in MASK_BITS bits of the group."""
+    base = xxhash.xxh64_intdigest("base", SEED)
+    masks = []
+    for g in range(GROUPS):
+        for k in range(MASKS):
+            places = sorted(range(16), key=lambda i, g=g, k=k: xxhash.xxh64_intdigest(f"{g} {k} {i}", SEED))[:MASK_BITS]
+            masks.append(sum(1 << (16 * g + i) for i in places))
+    return [base, *(base ^ m for m in masks)]
 
 
 def _table(prints: DataFrame) -> DataFrame:
-    """fp, rep and the pivot distance table: 16 distances of one byte, in two longs."""
-    def packed(part: list[int]):
+    """fp, rep and the pivot distance table: d, the distance to the base, and g0 to g3.
+
+    A group's pivots differ from the base in 8 bits, so their distances are d + 8 - 2c with c from 0 to 8: four bits each.
+    """
+    base, *others = pivots()
+    d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(base))))
+
+    def group(g: int) -> Column:
         out = F.lit(0).cast("long")
-        for k, p in enumerate(part):
-            out = out.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long"), 8 * k))
+        for k, p in enumerate(others[g * MASKS : (g + 1) * MASKS]):
+            c = ((F.col("d") + MASK_BITS - F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p))))) / 2).cast("long")
+            out = out.bitwiseOR(F.shiftleft(c, 4 * k))
         return out
 
-    p = _pivots()
-    return prints.select("fp", "rep", packed(p[:8]).alias("d0"), packed(p[8:]).alias("d1"))
+    return prints.select("fp", "rep", d.alias("d")).select("*", *[group(g).alias(f"g{g}") for g in range(GROUPS)])
+
+
+def _differences(a: str, b: str) -> list[Column]:
+    """By how much the distances of a and b to each pivot differ."""
+    base = F.col(f"{a}.d") - F.col(f"{b}.d")
+    part = lambda c, k: F.shiftrightunsigned(F.col(c), 4 * k).bitwiseAND(F.lit(15))
+    return [F.abs(base), *[F.abs(base - 2 * (part(f"{a}.g{g}", k) - part(f"{b}.g{g}", k))) for g in range(GROUPS) for k in range(MASKS)]]
+
+
+def _near(a: str, b: str) -> Column:
+    """The maximum coordinate difference is BITS or less."""
+    return F.greatest(*_differences(a, b)) <= BITS
+
+
+def _verified(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= BITS
 
 
-def _near(a: str, b: str, bits: int):
-    """No coordinate of the pivot table differs by more than bits."""
-    byte = lambda c, k: F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255))
-    return F.greatest(*[F.abs(byte(f"{a}.{d}", k) - byte(f"{b}.{d}", k)) for d in ("d0", "d1") for k in range(8)]) <= bits
+CELLS = list(combinations(range(GROUPS), GROUPS - BITS))
+TABLE = ["fp", "rep", "d", *[f"g{g}" for g in range(GROUPS)]]
 
 
-def _verified(a: str, b: str, bits: int):
-    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits
+def _filed(prints: DataFrame) -> DataFrame:
+    """The table's rows under the cells of their coordinates: band (the choice of groups) and key."""
+    cells = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftleft(f"g{a}", 32).bitwiseOR(F.col(f"g{b}")).alias("key")) for i, (a, b) in enumerate(CELLS)])
+    return _table(prints).withColumn("at", F.explode(cells)).select("at.band", "at.key", *TABLE)
+
+
+def _pairs(few: DataFrame) -> DataFrame:
+    a, b = few.alias("a"), few.alias("b")
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep")))
+
+
+def funnel(prints: DataFrame) -> list[tuple[str, int]]:
+    """Pairs in the cells (as often as they share one), those left after each pivot in turn, and those verified."""
+    differences = _differences("a", "b")
+    gone = F.coalesce(*[F.when(d > BITS, k) for k, d in enumerate(differences)], F.lit(len(differences)))  # the first pivot to tell them apart
+    falls = {r["gone"]: r for r in _pairs(_filed(prints)).select(gone.alias("gone"), _verified("a", "b").cast("long").alias("v")).groupBy("gone").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")).collect()}
+    left = sum(r["n"] for r in falls.values())
+    steps = [("cells", left)]
+    for k in range(len(differences)):
+        left -= falls[k]["n"] if k in falls else 0
+        steps.append((f"pivot {k}", left))
+    return [*steps, ("verified", falls[len(differences)]["v"] if len(differences) in falls else 0)]
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -100,30 +154,24 @@ def links(prints: DataFrame) -> DataFrame:
 
     Every component of the full link graph is a component of these links.
     """
-    bits = 2
-    pairs = list(combinations(range(4), 2))
-    block = lambda k: F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftleft(block(a), 16).bitwiseOR(block(b)).alias("key")) for i, (a, b) in enumerate(pairs)])
-    filed = _table(prints).withColumn("at", F.explode(keys)).select("at.band", "at.key", "fp", "rep", "d0", "d1")
+    filed = _filed(prints)
     sizes = filed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = durable(filed.join(sizes, ["band", "key"]))
-
-    few = shared.filter(F.col("n") <= BUCKET)
-    a, b = few.alias("a"), few.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep"))
-    survivors = a.join(b, same & _near("a", "b", bits)).filter(_verified("a", "b", bits))
+    survivors = _pairs(shared.filter(F.col("n") <= BUCKET)).filter(_near("a", "b")).filter(_verified("a", "b"))
     out = survivors.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
-    # One-bit variants in the two blocks that the bucket's key leaves free.
-    free = [[16 * k + i for k in range(4) if k not in p for i in range(16)] for p in pairs]
-    masks = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit((1 << x) - (1 << 64) * (x == 63)).cast("long") for x in row]) for row in free])
+    # One-bit variants in the two groups that the cell leaves open.
+    free = [[16 * g + i for g in range(GROUPS) if g not in cell for i in range(16)] for cell in CELLS]
+    masks = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << x)).cast("long") for x in row]) for row in free])
     many = shared.filter(F.col("n") > BUCKET)
-    me = F.struct("rep", "fp", "d0", "d1")
+    me = F.struct("rep", *[c for c in TABLE if c != "rep"])
     variants = many.withColumn("flip", F.explode(masks[F.col("band")])).withColumn("near", F.col("fp").bitwiseXOR(F.col("flip")))
     centre = variants.groupBy("band", "near").agg(F.min(me).alias("c"))
-    found = variants.alias("a").join(centre.alias("b"), ["band", "near"]).select(F.struct("a.rep", "a.fp", "a.d0", "a.d1").alias("a"), F.col("b.c").alias("b"))
-    found = found.filter(F.col("a.rep") > F.col("b.rep")).filter(_near("a", "b", bits)).filter(_verified("a", "b", bits))
-    return out.union(found.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))).distinct()
+    found = variants.alias("a").join(centre.alias("b"), ["band", "near"]).select(F.struct(*[f"a.{c}" for c in TABLE]).alias("a"), F.col("b.c").alias("b"))
+    found = found.filter(F.col("a.rep") > F.col("b.rep")).filter(_near("a", "b")).filter(_verified("a", "b"))
+    links = durable(out.union(found.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))).distinct())
+    discard(shared)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,7 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star links each node's larger neighbours to its smallest one, small-star its smaller ones;
     alternating them leaves stars after a few rounds (O(log^2) of the nodes at most).
     """
-    edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -140,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = durable(small.select("e.*").filter("u <> v").distinct())
+        edges = checkpointed(small.select("e.*").filter("u <> v").distinct())
         state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == before:
             return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -156,15 +204,6 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return own.join(named, "fp").select("id", "fp", "component")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, the one that names it, with the input's columns.
-
-    Rows of the same identifier stay or go together; rows without one stay.
-    """
-    gone = classes(df, id_col, text_col).filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")

@@ -15,14 +15,18 @@ theirs):
 
 Documents that equal an earlier one as a whole sequence of words skip step 3: all of their words go (50 words or more).
 
-Scale: steps 1 and 2 are pre-aggregated counts joined back, hot hashes (4096 at most) salted. Step 3
-is one exchange and a window function; a window whose 25-word part occurs over HOT times has a salt for each HOT of
-them, and its first document, pre-aggregated, is told to every salt. Nothing but rows of about 20 bytes is
-shuffled, besides the texts: once to meet their marks and once to meet their removals. Lineage is cut between the steps.
-
-Defined cases: null text has no words; texts under 50 words lose nothing; identifiers that repeat are
-one document to the comparison, and each row is cleaned by the marks of all rows of its identifier, so
-they should be unique; rows with a null identifier are compared with nothing and stay whole.
+Scale: one pass over the texts gives anchors and digests, which are stored; each level is a count,
+pre-aggregated before its exchange, joined back. The most frequent hashes, each over 1/HOT_PARTS of the rows
+and so HOT_PARTS at most, are broadcast and never shuffled; all others are joined by hash. Besides rows of
+about 30 bytes, the texts are shuffled twice: to meet their marks and to meet their removals. Every step
+is stored in the shared folder, and deleted when the next one is.
+
+Rows are told apart by identifier and a hash of the text, so rows that share an identifier are
+judged each by its own windows, against smaller identifiers only.
+
+Defined cases: null text has no words; texts under 50 words lose nothing; very long texts are read in
+overlapping parts; rows with a null identifier are compared with nothing and stay whole; repeated rows get the
+same result each; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, release, slices, texts
+from .common import discard, documents, durable, slices, texts
 
-HOT = 10_000
 HOT_PARTS = 4096
 SLICE = 2 << 20
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -101,39 +104,38 @@ def lengths(window: int) -> tuple[int, int, int]:
     return -(-window // 4), -(-window // 2), window
 
 
-def segments(ids: list, bodies: list[bytes], window: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(id, place of the first word, words) of the texts; long texts in overlapping parts, each window in one."""
-    for i, body in zip(ids, bodies, strict=True):
-        if i is None:
-            continue
-        carry: list[bytes] = []
-        at = 0
-        for words in runs(body):
-            words = carry + words
-            if len(words) >= window:
-                yield i, at, words
-                at += len(words) - window + 1
-                carry = words[len(words) - window + 1 :]
-            else:
-                carry = words
-
-
-def together(parts: list[tuple[int, int, list[bytes]]], hashes: WordHashes, window: int):
-    """Word hashes of all parts end to end; per place its part, place in the document, and whether a window starts."""
+def segments(row: tuple, body: bytes, window: int, watch=None) -> Iterator[tuple[tuple, int, list[bytes]]]:
+    """(row, place of the first word, words) of a text; of a long text overlapping parts, each window in one. watch gets all words."""
+    carry: list[bytes] = []
+    at = 0
+    for words in runs(body):
+        if watch:
+            watch(words)
+        words = carry + words
+        if len(words) >= window:
+            yield row, at, words
+            at += len(words) - window + 1
+            carry = words[len(words) - window + 1 :]
+        else:
+            carry = words
+
+
+def together(parts: list[tuple[tuple, int, list[bytes]]], hashes: WordHashes, window: int):
+    """Word hashes of all parts end to end; per place its row, place in the document, and whether a window starts."""
     sizes = np.array([len(p[2]) for p in parts])
     h = np.concatenate([hashes.of(p[2]) for p in parts])
     part = np.repeat(np.arange(len(parts)), sizes)
     within = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = within <= np.repeat(sizes - window, sizes)
-    doc = np.array([p[0] for p in parts], np.int64)
+    row = np.array([p[0] for p in parts], np.int64)
     base = np.array([p[1] for p in parts], np.int64)
-    return h, doc[part], within + base[part], starts, within, np.repeat(sizes, sizes)
+    return h, row[part], within + base[part], starts, within, np.repeat(sizes, sizes)
 
 
 def anchor_rows(parts, hashes: WordHashes, window: int):
-    """id, pos, hash, and the hashes of the extensions to the left and right (null where the text ends)."""
+    """id, r, pos, hash, and the hashes of the extensions to the left and right (null where the text ends)."""
     small, half, _ = lengths(window)
-    h, doc, pos, starts, within, size = together(parts, hashes, window)
+    h, row, pos, starts, within, size = together(parts, hashes, window)
     hs = rolled(h, small)
     low = sliding(hs, window - small + 1, np.minimum)
     low = np.where(starts[: len(low)], low, np.uint64(0))
@@ -151,16 +153,15 @@ def anchor_rows(parts, hashes: WordHashes, window: int):
     lh = np.where(left, hh[np.clip(at - (half - small), 0, len(hh) - 1)], np.uint64(0))
     rh = np.where(right, hh[np.clip(at, 0, len(hh) - 1)], np.uint64(0))
     return (
-        pa.array(doc[at]), pa.array(pos[at].astype(np.int32)), pa.array(hs[at].view(np.int64)),
+        pa.array(row[at, 0]), pa.array(row[at, 1]), pa.array(pos[at].astype(np.int32)), pa.array(hs[at].view(np.int64)),
         pa.array(lh.view(np.int64), mask=~left), pa.array(rh.view(np.int64), mask=~right),
     )
 
 
-def own_counts(hs: np.ndarray, seen: np.ndarray, small: int, half: int, window: int) -> np.ndarray:
-    """Of each window: the rarer of its own anchor's extensions that lie in it, 0 if one is not shared.
+def candidates(hs: np.ndarray, shared: np.ndarray, small: int, half: int, window: int) -> np.ndarray:
+    """Windows whose anchor's extensions that lie in them are all shared (by place).
 
-    This depends on the window's words alone, so equal windows of any documents get equal counts.
-    seen: occurrences of the shared half windows by place, 0 elsewhere.
+    This depends on the window's words alone, so equal windows of any documents are judged alike.
     """
     anchor = np.arange(len(hs))
     have, size = 1, window - small + 1
@@ -171,43 +172,44 @@ def own_counts(hs: np.ndarray, seen: np.ndarray, small: int, half: int, window:
         have += step
     start = np.arange(len(anchor))
     left = anchor - (half - small)
-    many = np.iinfo(np.int64).max
-    by_left = np.where(left >= start, seen[np.maximum(left, 0)], many)
-    by_right = np.where(anchor + half <= start + window, seen[anchor], many)
-    return np.minimum(by_left, by_right)
+    by_left = (left < start) | shared[np.maximum(left, 0)]
+    by_right = (anchor + half > start + window) | shared[anchor]
+    return np.flatnonzero(by_left & by_right)
 
 
-ANCHORS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("hl", pa.int64()), ("hr", pa.int64())])
-WINDOWS = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("ha", pa.int64()), ("hb", pa.int32()), ("salts", pa.int32())])
-META = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+ANCHORS = pa.schema([("id", pa.int64()), ("r", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("hl", pa.int64()), ("hr", pa.int64())])
+WINDOWS = pa.schema([("id", pa.int64()), ("r", pa.int64()), ("pos", pa.int32()), ("ha", pa.int64()), ("hb", pa.int32())])
 DONE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def _anchors(window: int):
+def _scan(window: int):
+    """Anchors, and for each row of window words or more one at place -1: the digest of its words and their number."""
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             for piece in slices(batch, SLICE):
-                if parts := list(segments(piece.column(0).to_pylist(), piece.column(1).to_pylist(), window)):
+                parts, wholes = [], []
+                for i, r, body in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if i is None:
+                        continue
+                    sizes, digest = [], xxhash.xxh3_128()
+
+                    def watch(words, sizes=sizes, digest=digest):
+                        sizes.append(len(words))
+                        digest.update(b"".join([w + b" " for w in words]))
+
+                    parts += segments((i, r), body, window, watch)
+                    if sum(sizes) >= window:
+                        a, b = np.frombuffer(digest.digest(), np.int64).tolist()
+                        wholes.append((i, r, -1, a, b, sum(sizes)))
+                if parts:
                     yield pa.RecordBatch.from_arrays(list(anchor_rows(parts, hashes, window)), schema=ANCHORS)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*wholes, strict=True), ANCHORS, strict=True)], schema=ANCHORS)
 
     return run
 
 
-def _meta(batches):
-    for batch in batches:
-        out = []
-        for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, digest = 0, xxhash.xxh3_128()
-            for words in runs(body):
-                n += len(words)
-                digest.update(b"".join(w + b" " for w in words))
-            value = np.frombuffer(digest.digest(), np.int64)
-            out.append((i, n, int(value[0]), int(value[1])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), META, strict=True)], schema=META)
-
-
 def _windows(window: int):
     small, half, _ = lengths(window)
 
@@ -215,23 +217,18 @@ def _windows(window: int):
         hashes = WordHashes()
         for batch in batches:
             for piece in slices(batch, SLICE):
-                marks = {}
-                ids = piece.column(0).to_pylist()
-                for k, i in enumerate(ids):
-                    marks[i] = piece.column(2)[k].values.to_numpy(), piece.column(3)[k].values.to_numpy()
-                for i, base, words in segments(ids, piece.column(1).to_pylist(), window):
-                    at, many = marks[i]
-                    here = (at >= base) & (at < base + len(words))
-                    seen = np.zeros(len(words), np.int64)
-                    seen[at[here] - base] = many[here]
-                    h = hashes.of(words)
-                    count = own_counts(rolled(h, small), seen, small, half, window)
-                    pos = np.flatnonzero(count > 0)
-                    if len(pos):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(pos), i)), pa.array((pos + base).astype(np.int32)), pa.array(rolled(h, window)[pos].view(np.int64)),
-                            pa.array((rolled(h, window, K2)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((count[pos] // HOT + 1).astype(np.int32)),
-                        ], schema=WINDOWS)
+                for k, (i, r, body) in enumerate(zip(*(piece.column(c).to_pylist() for c in range(3)), strict=True)):
+                    at = piece.column(3)[k].values.to_numpy()
+                    for _, base, words in segments((i, r), body, window):
+                        shared = np.zeros(len(words), bool)
+                        shared[at[(at >= base) & (at < base + len(words))] - base] = True
+                        h = hashes.of(words)
+                        pos = candidates(rolled(h, small), shared, small, half, window)
+                        if len(pos):
+                            yield pa.RecordBatch.from_arrays([
+                                pa.array(np.full(len(pos), i)), pa.array(np.full(len(pos), r)), pa.array((pos + base).astype(np.int32)),
+                                pa.array(rolled(h, window)[pos].view(np.int64)), pa.array((rolled(h, window, K2)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                            ], schema=WINDOWS)
 
     return run
 
@@ -271,66 +268,46 @@ def _clean(window: int, outputs: bool):
     return run
 
 
-def _salt(salts) -> Column:
-    return F.pmod(F.xxhash64("id"), salts).cast("int")
-
-
-def _each(salts) -> Column:
-    return F.explode(F.sequence(F.lit(0), (salts - 1).cast("int")))
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose hash h occurs in two documents or more, with the number of rows of the hash as n.
-
-    A hash with over HOT rows and over 1/HOT_PARTS of the shared ones, so one of HOT_PARTS at most, is
-    dealt out to a salt for each HOT of its rows.
-    """
-    seen = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("h", "n")
-    seen = durable(seen)
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    hot = [(r["h"], r["n"] // HOT + 1) for r in seen.filter(F.col("n") > max(HOT, total // HOT_PARTS)).collect()]
-    if not hot:
-        return rows.join(seen, "h")
-    known = F.broadcast(rows.sparkSession.createDataFrame(hot, "h long, salts long"))
-    salts = F.coalesce("salts", F.lit(1))
-    left = rows.join(known, "h", "left").withColumn("salt", _salt(salts)).drop("salts")
-    right = seen.join(known, "h", "left").select("h", "n", _each(salts).alias("salt"))
-    return left.join(right, ["h", "salt"]).drop("salt")
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows (a stored table) whose keys occur under two identifiers or more, with the least of these as lo; stored."""
+    groups = durable(rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").drop("hi"))
+    many = (groups.agg(F.sum("n")).first()[0] or 0) // HOT_PARTS
+    hot = groups.filter(F.col("n") > many).drop("n")  # HOT_PARTS rows at most: their counts add up to the total
+    told = rows.join(F.broadcast(hot), list(keys), "left")
+    few = told.filter("lo IS NULL").drop("lo").join(groups.filter(F.col("n") <= many).drop("n"), list(keys))
+    out = durable(told.filter("lo IS NOT NULL").unionByName(few))
+    discard(groups)
+    return out
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, outputs: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every row; with outputs, the kept words too (kept)."""
     small, half, _ = lengths(window)
-    spark = df.sparkSession
-    body = texts(df, id_col, text_col).toDF("id", "text")
+    body = texts(df, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("r"), "text")
 
-    meta = body.mapInArrow(_meta, "id long, n long, a long, b long").filter(f"n >= {window}")
-    first = meta.groupBy("a", "b", "n").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    copies = durable(meta.join(first, ["a", "b", "n"]).filter("id > lo").select("id").distinct())
+    scanned = durable(body.mapInArrow(_scan(window), "id long, r long, pos int, h long, hl long, hr long"))
+    wholes = _shared(scanned.filter("pos < 0").select("id", "r", "h", "hl", "hr"), "h", "hl", "hr")
+    copies = durable(wholes.filter("id > lo").select("id", "r").distinct())
+    again = _shared(scanned.filter("pos >= 0"), "h")
+    discard(scanned, wholes)
 
-    anchors = body.mapInArrow(_anchors(window), "id long, pos int, h long, hl long, hr long")
-    again = durable(_shared(anchors).select("id", "pos", "hl", "hr"))
-    release(spark)
     sides = F.array(F.struct((F.col("pos") - (half - small)).alias("pos"), F.col("hl").alias("h")), F.struct("pos", F.col("hr").alias("h")))
-    longer = again.select("id", F.explode(sides).alias("e")).filter("e.h IS NOT NULL").select("id", "e.pos", "e.h").distinct()
-    kept = _shared(longer).join(copies, "id", "left_anti")
-    marks = durable(kept.groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("m")).select("id", F.col("m.pos").alias("at"), F.col("m.n").alias("many")))
-    release(spark)
-
-    found = body.join(marks, "id").mapInArrow(_windows(window), "id long, pos int, ha long, hb int, salts int")
-    rows = found.select("id", "pos", "ha", "hb", _salt(F.col("salts")).alias("salt"))
-    if marks.filter(F.exists("many", lambda m: m >= HOT)).limit(1).count():
-        # The first document of each hot window is told to all its salts, as rows without a place.
-        first = found.filter("salts > 1").groupBy("ha", "hb", "salts").agg(F.min("id").alias("id"))
-        told = first.select("id", F.lit(None).cast("int").alias("pos"), "ha", "hb", _each(F.col("salts")).alias("salt"))
-        rows = rows.unionByName(told)
-    over = rows.withColumn("lo", F.min("id").over(Window.partitionBy("ha", "hb", "salt"))).filter("pos IS NOT NULL AND id > lo").select("id", "pos")
-    gone = durable(over.groupBy("id").agg(F.collect_list("pos").alias("gone")))
-    release(spark)
-
-    final = body.join(gone, "id", "left").join(copies.withColumn("copy", F.lit(True)), "id", "left")
-    out = final.select("id", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = out.mapInArrow(_clean(window, outputs), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    longer = durable(again.select("id", "r", F.explode(sides).alias("e")).filter("e.h IS NOT NULL").select("id", "r", "e.pos", "e.h").distinct())
+    again, before = _shared(longer, "h"), again
+    discard(before, longer)
+    marks = durable(again.join(copies, ["id", "r"], "left_anti").groupBy("id", "r").agg(F.collect_list("pos").alias("at")))
+    discard(again)
+
+    found = durable(body.join(marks, ["id", "r"]).select("id", "r", "text", "at").mapInArrow(_windows(window), "id long, r long, pos int, ha long, hb int"))
+    discard(marks)
+    over = _shared(found, "ha", "hb")
+    discard(found)
+    gone = over.filter("id > lo").groupBy("id", "r").agg(F.collect_list("pos").alias("gone")).withColumn("copy", F.lit(False))
+    gone, before = durable(gone.unionByName(copies.select("id", "r", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copy")))), (over, copies)
+    discard(*before)
+
+    final = body.join(gone, ["id", "r"], "left").select("id", "text", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = final.mapInArrow(_clean(window, outputs), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if outputs else out.drop("kept")
 
 

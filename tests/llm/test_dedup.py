@@ -43,6 +43,16 @@ def test_exact(docs, copies, hot, monkeypatch):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_without_identifiers(docs, hot, monkeypatch):
+    if hot:
+        monkeypatch.setattr(exact_dedup, "_hot", lambda keys, rows: [r[0] for r in keys.groupBy("_h").count().filter("count > 1").select("_h").collect()])
+    rows = [(None, "a"), (None, "a"), (5, "a"), (7, "a"), (7, "a"), (None, "b"), (None, "b"), (3, "c")]
+    got = exact_dedup.verdicts(docs(rows)).collect()
+    assert sorted((r.text_sha256[:4], r.keep_id or 0, r.group_size) for r in got) == sorted((hashlib.sha256(t.encode()).hexdigest()[:4], k, n) for t, k, n in [("a", 7, 5)] * 5 + [("b", 0, 2)] * 2 + [("c", 3, 1)])
+    assert sorted((r.doc_id or 0) for r in got if r.kept) == [0, 3, 7]
+
+
 def test_exact_smallest_and_normalised(docs):
     from pyspark.sql import functions as F
 
@@ -62,30 +72,42 @@ def test_exact_keeps_columns(docs, clashing, odd_rows):
 
 def without_repeats(rows, window):
     first = {}
-    split = {i: WORDS(t or "") for i, t in rows}
-    for i in sorted(split):
-        for s in range(len(split[i]) - window + 1):
-            first.setdefault(tuple(split[i][s : s + window]), i)
+    split = [(i, WORDS(t or "")) for i, t in rows]
+    for i, words in sorted((x for x in split if x[0] is not None), key=lambda x: x[0]):
+        for s in range(len(words) - window + 1):
+            first.setdefault(tuple(words[s : s + window]), i)
     out = []
-    for i, words in split.items():
+    for i, words in split:
         gone = set()
         for s in range(len(words) - window + 1):
-            if first[tuple(words[s : s + window])] < i:
+            if i is not None and first[tuple(words[s : s + window])] < i:
                 gone |= set(range(s, s + window))
         kept = " ".join(w for k, w in enumerate(words) if k not in gone)
         out.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
+
+
+def cleaned(df):
+    return sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-def test_substring(docs, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("parts", [4096, 3])
+def test_substring(docs, parts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_PARTS", parts)
     rnd = random.Random(7)
     shared = [prose(rnd, 70) for _ in range(3)] + [prose(rnd, 50), prose(rnd, 49)]
     rows = [(k, " ".join(x for _ in range(rnd.randrange(1, 4)) for x in (prose(rnd, rnd.randrange(0, 60)), rnd.choice(shared)))) for k in range(40)]
     rows += [(50, rows[3][1]), (51, rows[3][1].replace(" ", "\n")), (52, None), (53, ""), (54, "one " * 200), (55, "one " * 120), (56, shared[4])]
-    got = substring_dedup.remove_repeats(docs(rows)).collect()
-    assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, 50)
+    assert cleaned(docs(rows)) == without_repeats(rows, 50)
+
+
+@pytest.mark.parametrize("parts", [4096, 2])
+def test_substring_of_repeated_and_missing_identifiers(docs, parts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_PARTS", parts)
+    rnd = random.Random(13)
+    text, other, alone, shared = (prose(rnd, n) for n in (80, 70, 60, 55))
+    rows = [(1, text), (2, text), (2, alone), (2, f"{other} {shared}"), (2, f"{other} {shared}"), (3, shared), (None, text), (None, shared), (4, alone), (4, text)]
+    assert cleaned(docs(rows)) == without_repeats(rows, 50)
 
 
 def test_substring_long_texts_in_parts(docs, monkeypatch):
@@ -95,7 +117,7 @@ def test_substring_long_texts_in_parts(docs, monkeypatch):
     shared = prose(rnd, 300)
     rows = [(1, f"{prose(rnd, 900)} {shared} {prose(rnd, 500)}"), (2, f"{prose(rnd, 333)} {shared}"), (3, shared)]
     got = substring_dedup.remove_repeats(docs(rows), outputs=True).collect()
-    assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, 50)
+    assert cleaned(docs(rows)) == without_repeats(rows, 50)
     assert {r.id: r.kept for r in got}[3] == ""
 
 
@@ -164,11 +186,25 @@ def test_links_of_clusters_stay_whole(spark, monkeypatch):
         assert {i: found.get(i, i) for i in by_rep} == reach(by_rep)
 
 
-def test_simhash_drops_all_but_one(docs, clashing, odd_rows):
-    df = clashing(odd_rows)
-    out = simhash.drop_near_copies(df)
-    assert out.columns == df.columns
-    assert {1, 4, 6} <= {r.doc_id for r in out.select("doc_id").collect()} and not {2, 3, 5, 7, 8, 10, 11} & {r.doc_id for r in out.select("doc_id").collect()}
+def test_pairs_fall_from_pivot_to_pivot(spark):
+    rnd = random.Random(14)
+    prints = {rnd.getrandbits(64): k for k in range(300)}
+    for k, at in enumerate(list(prints)[:50]):
+        prints.setdefault(at ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)), 300 + k)
+    df = spark.createDataFrame([(simhash.signed(fp), rep) for fp, rep in prints.items()], "fp long, rep long")
+    table = {r.rep: r for r in simhash._table(df).collect()}
+    for fp, rep in prints.items():  # the table holds the distances to all pivots
+        own = [table[rep].d, *(table[rep].d + 8 - 2 * (table[rep][f"g{g}"] >> 4 * k & 15) for g in range(4) for k in range(8))]
+        assert own == [(fp ^ p).bit_count() for p in simhash.pivots()]
+    steps = simhash.funnel(df)
+    counts = [n for _, n in steps]
+    assert counts[:-1] == sorted(counts[:-1], reverse=True) and counts[-2] >= counts[-1] >= 50
+    assert simhash.links(df).count() == sum((a ^ b).bit_count() <= 2 for a in prints for b in prints if a < b)
+
+
+def test_simhash_of_odd_tables(docs, clashing, odd_rows):
+    found = {r.id: r.component for r in simhash.classes(clashing(odd_rows)).collect()}
+    assert {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 11: 6, 9: 9} == found
     assert simhash.classes(docs([])).count() == 0
 
 
@@ -219,13 +255,3 @@ def test_near_copies_keep_columns(docs, clashing, odd_rows):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [1, 4, 6, 9]
     assert near_dedup.drop_near_copies(docs([])).count() == 0
-
-
-@pytest.mark.parametrize("places", [4, 6, 9])
-def test_substring_largest_count_equals_hot(docs, places, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", places)
-    rnd = random.Random(12)
-    shared = prose(rnd, 60)
-    rows = [(k, f"{prose(rnd, 20)} {shared} {prose(rnd, 20)}") for k in range(places)]
-    got = substring_dedup.remove_repeats(docs(rows)).collect()
-    assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows, 50)

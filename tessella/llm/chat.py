@@ -5,15 +5,20 @@
 
 Role and text hold no control string. Each turn is rendered, parsed again by the deterministic
 parser below and compared with its source; a turn that does not come back (or does not parse) is
-escaped one level further and tried again. An escaped turn says so in its head. Turns delimit
-themselves, so a conversation comes back if its turns do, and conversations of any length stream
-through a task turn by turn: only counters and digests are held.
+escaped one level further and tried again. An escaped turn says so in its head.
+
+What is returned is read back from the output: the rendered conversation goes into a reader, which
+parses it as one stream and gives turns and their levels; the loss is what the loss spans cut out of that
+stream, unescaped by the level that was read. Both must agree with the source, or the run stops. A
+stream is dropped as it is read, so conversations of any length pass a task turn by turn: only counters and
+digests are held (with outputs, the text and its spans too).
 
 Scale: one exchange by conversation and an external sort by turn. The turns of one conversation are digested in order,
 so they meet in one task, in bounded memory.
 
 Defined cases: null role or text is empty; equal turn numbers are ordered by role, then text; repeated
-rows are turns of their own; a null conversation id is a conversation.
+rows are turns of their own; a null conversation id is a conversation; null turns come first; a very long turn is held
+whole, a few times over; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,35 +65,58 @@ def render(role: str, text: str, level: int) -> tuple[str, tuple[int, int]]:
     return f"{head}{text}{END}\n", (len(head), len(head) + len(text))
 
 
-def parse(text: str) -> Iterator[tuple[str, str]]:
+class Reader:
+    """Reads a rendered conversation, fed in any parts."""
+
+    def __init__(self):
+        self.text, self.at = "", 0  # what is not read yet, and its place in the stream
+
+    def feed(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, text, level, place of the text) of every turn that is complete now."""
+        self.text += text
+        start, line, stop = 0, -1, -1
+        while start < len(self.text):
+            whole = self.text
+            if not whole.startswith(START, start) and not START.startswith(whole[start:]):
+                raise GrammarError("a turn must start with its control string")
+            line = whole.find("\n", start)
+            stop = whole.find(END + "\n", start)
+            if line < 0 or stop < 0:
+                break
+            if stop < line or whole.find(END, start) < stop:
+                raise GrammarError("a turn must have a head line, a text and an end")
+            head, body = whole[start + len(START) : line], whole[line + 1 : stop]
+            level = 0
+            while head.endswith(ESCAPED):
+                head, level = head.removesuffix(ESCAPED), level + 1
+            if any(c in head or c in body for c in CONTROLS):
+                raise GrammarError("control string inside a turn")
+            for _ in range(level):
+                head, body = unescape(head), unescape(body)
+            yield head, body, level, self.at + line + 1
+            start = stop + len(END) + 1
+        self.text, self.at = self.text[start:], self.at + start
+
+    def close(self) -> None:
+        if self.text:
+            raise GrammarError("a turn does not end")
+
+
+def parse(text: str) -> list[tuple[str, str]]:
     """The turns (role, text) of rendered text."""
-    at = 0
-    while at < len(text):
-        if not text.startswith(START, at):
-            raise GrammarError("a turn must start with its control string")
-        line = text.find("\n", at)
-        stop = text.find(END, at)
-        if line < 0 or stop < line or text[stop + len(END) : stop + len(END) + 1] != "\n":
-            raise GrammarError("a turn must have a head line, a text and an end")
-        head, body = text[at + len(START) : line], text[line + 1 : stop]
-        level = 0
-        while head.endswith(ESCAPED):
-            head, level = head.removesuffix(ESCAPED), level + 1
-        if any(c in head or c in body for c in CONTROLS):
-            raise GrammarError("control string inside a turn")
-        for _ in range(level):
-            head, body = unescape(head), unescape(body)
-        yield head, body
-        at = stop + len(END) + 1
-
-
-def format_turn(role: str, text: str) -> tuple[str, tuple[int, int], tuple[str, str]]:
-    """Rendered turn, the span of its text, and the turn as read back; escaped until it comes back."""
+    reader = Reader()
+    turns = [(role, body) for role, body, _, _ in reader.feed(text)]
+    reader.close()
+    return turns
+
+
+def format_turn(role: str, text: str) -> tuple[str, tuple[int, int]]:
+    """Rendered turn and the span of its text, escaped until the turn comes back."""
     for level in range(LEVELS):
         out, span = render(role, text, level)
         try:
-            if list(parse(out)) == [(role, text)]:
-                return out, span, (role, text)
+            if parse(out) == [(role, text)]:
+                return out, span
         except GrammarError:
             pass
     raise GrammarError("no level of escaping brings the turn back")
@@ -99,27 +127,40 @@ SQL_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long,
 
 
 class Conversation:
+    """Renders a conversation turn by turn, and reads the rendered stream back."""
+
     def __init__(self, conv: int | None, outputs: bool):
         self.conv, self.outputs = conv, outputs
+        self.reader = Reader()
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
         self.text: list[str] = []
         self.spans: list[list[int]] = []
 
     def add(self, role: str, text: str, trained: str) -> None:
-        out, (a, b), (role, text) = format_turn(role, text)
-        self.n += 1
-        self.turns.update(f"{role}\n{text}\n".encode())
-        if role == trained:
-            self.loss.update(text.encode())
-            self.loss_chars += len(text)
-            if self.outputs:
-                self.spans.append([self.chars + a, self.chars + b])
+        out, (a, b) = format_turn(role, text)
+        mask = (self.chars + a, self.chars + b) if role == trained else None
+        back = list(self.reader.feed(out))
+        if [(r, t) for r, t, _, _ in back] != [(role, text)]:
+            raise GrammarError("the conversation does not come back")
+        for r, t, level, place in back:
+            self.n += 1
+            self.turns.update(f"{r}\n{t}\n".encode())
+            if mask:
+                masked = out[mask[0] - self.chars : mask[1] - self.chars]
+                for _ in range(level):
+                    masked = unescape(masked)
+                if place != mask[0] or masked != t:
+                    raise GrammarError("the loss mask is not the turn's text")
+                self.loss.update(masked.encode())
+                self.loss_chars += len(masked)
         self.chars += len(out)
         if self.outputs:
             self.text.append(out)
+            self.spans += [list(mask)] if mask else []
 
     def row(self) -> tuple:
+        self.reader.close()
         more = ("".join(self.text), self.spans) if self.outputs else (None, None)
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, *more
 

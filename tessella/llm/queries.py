@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 SQL = {
+    "op1_quality": quality.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_chat": chat.SQL,

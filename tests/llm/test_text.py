@@ -204,19 +204,52 @@ def test_conversations_are_read_back_from_the_output(monkeypatch):
 
 
 def test_toxicity_on_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    even = labels.filter("doc_id % 2 = 0")
-    fitted = toxicity.model(docs, even)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fitted = toxicity.model(docs, labels.filter("doc_id % 2 = 0"))
     assert fitted.thresholds == sorted(fitted.thresholds) and len(fitted.thresholds) == 2
     scored = {r.id: r.rejected for r in toxicity.score(docs, fitted).collect()}
     odd = [(scored[r.doc_id], r.toxic) for r in labels.filter("doc_id % 2 = 1").collect()]
     false = sum(1 for s, t in odd if s and not t)
     hit = sum(1 for s, t in odd if s and t)
-    assert false <= 0.02 * len(odd) and hit >= 0.4 * sum(t for _, t in odd)
+    assert false <= 0.005 * len(odd) and hit >= 0.9 * sum(t for _, t in odd), (false, hit, sum(t for _, t in odd), len(odd))
     assert toxicity.keep_clean(docs, fitted).count() == sum(not r for r in scored.values())
 
 
+def test_stems_are_letters():
+    assert toxicity.features("Привет réeuxment ab".encode()) == Counter(
+        ["Привет", "^Прив", "^Приве", "réeuxment", "^réeu", "^réeux", "^réeuxm", "^réeuxme", "ab"]
+    )
+
+
+def test_gradient_of_the_ordinal_loss():
+    """Against differences of the loss, and the loss against the law written out."""
+    rnd = np.random.default_rng(3)
+    rows = [{int(c): float(rnd.normal()) for c in rnd.choice(6, 3, replace=False)} for _ in range(40)]
+    grade = rnd.integers(0, 4, 40)
+    x, p = toxicity.Sparse(rows), rnd.normal(size=9)
+    value, g = toxicity.loss(p, x, grade, 6, 0.1)
+    theta = p[6] + np.concatenate(([0], np.cumsum(np.exp(p[7:]))))
+    law = lambda z, k: (1 if k == 3 else 1 / (1 + np.exp(z - theta[k]))) - (0 if k == 0 else 1 / (1 + np.exp(z - theta[k - 1])))
+    want = -np.mean([np.log(law(sum(v * p[c] for c, v in r.items()), k)) for r, k in zip(rows, grade)]) + 0.05 * (p[:6] @ p[:6])
+    assert abs(value - want) < 1e-9
+    for k in range(9):
+        step = np.zeros(9)
+        step[k] = 1e-6
+        assert abs((toxicity.loss(p + step, x, grade, 6, 0.1)[0] - toxicity.loss(p - step, x, grade, 6, 0.1)[0]) / 2e-6 - g[k]) < 1e-6
+
+
+def test_repeated_and_contradicting_labels(docs, spark):
+    rows = [(k, "calm words here" if k % 2 else "vile words here") for k in range(60)] + [(0, "vile words here")] * 5 + [(1, None), (3, "")]
+    labels = spark.createDataFrame([(k, 0, 1 - k % 2) for k in range(60)] * 2 + [(0, 0, 0), (5, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    drawn = toxicity.sample(docs(rows), labels, "toxic", "doc_id", "text", 100).collect()
+    assert len(drawn) == 61 and len({(r.id, r.y) for r in drawn}) == 61
+    fitted = toxicity.model(docs(rows), labels)
+    got = {r.id: r.rejected for r in toxicity.score(docs([(7, "so vile"), (8, "so calm"), (9, None), (10, ""), (11, "vile " * 100_000)]), fitted).collect()}
+    assert got == {7: True, 8: False, 9: False, 10: False, 11: True}
+    assert toxicity.score(docs([]), fitted).count() == 0
+
+
 def test_toxicity_without_labels(docs, spark, clashing, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     fitted = toxicity.model(docs(odd_rows), none)

@@ -2,7 +2,8 @@
 
 Blocks are overlapping windows of 128 words over the words of the whole text, so that a notice of up to 64 words
 lies in one block whole, however its lines are wrapped. A block meets a template when it contains THRESHOLD of the
-template's distinct words or more. The join is exact and indexed on the templates:
+template's distinct words or more (all of them where these are under SHORT) and the word that tells it from its like. Of the templates that
+a block meets, those whose words all belong to another one give way to it. The join is exact and indexed on the templates:
 
 - global order: words by their number of blocks over all documents, rarest first (one counting pass;
   only words of templates can matter, so the counts are a fixed few rows);
@@ -13,7 +14,8 @@ template's distinct words or more. The join is exact and indexed on the template
 
 Scale: two passes over the texts without an exchange of texts; templates are fixed constants.
 
-Defined cases: null text is empty; no words: no labels and score 0; rows of the same identifier are scanned each.
+Defined cases: null text is empty; no words: no labels and score 0; rows of the same identifier are scanned each; very
+long texts are scanned whole, one at a time; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, rowwise, slices, texts
 
 THRESHOLD = 0.8
+SHORT = 10
 BLOCK = 128
 
 # Phrases and their labels.
@@ -38,21 +41,21 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Public license notices and their labels.
+# Labels, public license notices, and the word of a notice that must be there.
 TEMPLATES = [
-    ("mit", "released under the MIT license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2", "licensed under the Apache license version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2.0"),
-    ("gpl-3", "this work is licensed under the GNU general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation"),
-    ("lgpl", "redistribute it and or modify it under the terms of the GNU lesser general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the Mozilla public license v 2.0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under CC BY NC 4.0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4.0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4.0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4.0 international license"),
+    ("mit", "released under the MIT license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "granted"),
+    ("apache-2", "licensed under the Apache license version 2.0", "apache"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2.0", "apache"),
+    ("gpl-3", "this work is licensed under the GNU general public license version 3", "gnu"),
+    ("gpl", "is free software you can redistribute it and or modify it under the terms of the GNU general public license as published by the free software foundation", "gnu"),
+    ("lgpl", "is free software you can redistribute it and or modify it under the terms of the GNU lesser general public license as published by the free software foundation", "lesser"),
+    ("mpl-2", "this source code form is subject to the terms of the Mozilla public license v 2.0", "mozilla"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("cc-by-nc", "licensed under CC BY NC 4.0", "nc"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4.0 international license", "noncommercial"),
+    ("cc-by", "licensed under a creative commons attribution 4.0 international license", "attribution"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4.0 international license", "sharealike"),
 ]
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -71,10 +74,12 @@ class Templates:
     """The inverted index over the templates' prefixes, in the global order of words."""
 
     def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
-        sets = [(label, set(words(t.encode()))) for label, t in templates]
+        sets = [(label, set(words(t.encode()))) for label, t, _ in templates]
         self.rank = {w: k for k, w in enumerate(sorted(set().union(*(s for _, s in sets)), key=lambda w: (counts.get(w, 0), w)))}
         self.sets = [(label, sorted(map(self.rank.__getitem__, s))) for label, s in sets]
-        self.need = [math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
+        self.need = [len(s) if len(s) < SHORT else math.ceil(threshold * len(s) - 1e-9) for _, s in self.sets]
+        self.telling = [self.rank[t.encode()] for _, _, t in templates]
+        self.above = [{k for k, (_, o) in enumerate(sets) if s < o} for _, s in sets]  # templates with all its words and more
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, (_, ranks) in enumerate(self.sets):
             for place, r in enumerate(ranks[: len(ranks) - self.need[t] + 1]):
@@ -82,7 +87,7 @@ class Templates:
         self.starters = frozenset(w for w, r in self.rank.items() if r in self.index)
 
     def matches(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block meets."""
+        """(label, containment) of every template that the block meets and that gives way to none."""
         there = set(block)
         if self.starters.isdisjoint(there):
             return []
@@ -97,13 +102,12 @@ class Templates:
                 else:
                     overlap[t] += 1
         own = set(ranks)
-        found = []
+        found = {}
         for t in overlap.keys() - out_of_reach:
-            label, template = self.sets[t]
-            shared = len(own.intersection(template))
-            if shared >= self.need[t]:
-                found.append((label, shared / len(template)))
-        return found
+            shared = len(own.intersection(self.sets[t][1]))
+            if shared >= self.need[t] and self.telling[t] in own:
+                found[t] = shared / len(self.sets[t][1])
+        return [(self.sets[t][0], c) for t, c in found.items() if self.above[t].isdisjoint(found)]
 
 
 PARTS = [(phrase.encode().split(), label) for phrase, label in PHRASES.items()]
@@ -148,7 +152,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base",
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document with its base places, labels and best containment."""
-    vocabulary = frozenset(w for _, t in templates for w in words(t.encode()))
+    vocabulary = frozenset(w for _, t, _ in templates for w in words(t.encode()))
     index = Templates(block_counts(df, id_col, text_col, vocabulary), templates, threshold)
 
     def kernel(ids, bodies):
@@ -170,3 +174,24 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
+
+
+_listed = lambda text: "[" + ", ".join(f"'{w.decode()}'" for w in dict.fromkeys(words(text.encode()))) + "]"
+SQL = rf"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{label}', {_listed(text)}, '{telling}')" for k, (label, text, telling) in enumerate(TEMPLATES))}) AS x(k, label, tw, telling)),
+ph AS (SELECT * FROM (VALUES {", ".join(f"('{label}', {_listed(phrase)})" for phrase, label in PHRASES.items())}) AS x(label, pw)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+base AS (SELECT r, label, s FROM (SELECT r, ws, unnest(range(len(ws))) AS s FROM d), ph WHERE ws[s + 1:s + len(pw)] = pw),
+b AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM base GROUP BY r),
+blocks AS (SELECT r, o, list_distinct(ws[o + 1:o + {BLOCK}]) AS bw FROM (SELECT r, ws, unnest(range(0, greatest(1, len(ws) - {BLOCK // 2}), {BLOCK // 2})) AS o FROM d)),
+met AS (SELECT r, o, k, label, tw, len(list_intersect(bw, tw)) AS c FROM blocks, t WHERE list_contains(bw, telling)
+        AND len(list_intersect(bw, tw)) >= CASE WHEN len(tw) < {SHORT} THEN len(tw) ELSE ceil({THRESHOLD} * len(tw) - 1e-9) END),
+top AS (SELECT m.r, m.label, m.c / len(m.tw)::DOUBLE AS score FROM met m
+        WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.r = m.r AND o.o = m.o AND o.k <> m.k AND len(o.tw) > len(m.tw) AND list_has_all(o.tw, m.tw))),
+every AS (SELECT r, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT r, label FROM top UNION ALL SELECT r, label FROM base) GROUP BY r),
+best AS (SELECT r, max(score) AS score FROM top GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(b.labels, '') AS base_labels,
+       coalesce(every.labels, '') AS labels, CASE WHEN b.n IS NULL THEN coalesce(score, 0) ELSE 1 END::DOUBLE AS score
+FROM d LEFT JOIN b ON d.r = b.r LEFT JOIN every ON d.r = every.r LEFT JOIN best ON d.r = best.r
+"""

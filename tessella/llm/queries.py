@@ -18,5 +18,6 @@ SQL = {
     "op1_quality": quality.SQL,
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_licenses": licenses.SQL,
     "op6_chat": chat.SQL,
 }

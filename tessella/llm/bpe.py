@@ -18,7 +18,8 @@ Added tokens (control strings) in a text are matched as the tokenizers library d
 on a tie of places. Decoding joins the tokens' spellings by one space, as that library does for a vocabulary
 without a decoder.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give a row each.
+Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give a row each; a very
+long text is encoded whole, one at a time; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

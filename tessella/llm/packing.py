@@ -15,7 +15,9 @@ Scale: the scan's partitions are packed where they are read. Only the leftovers,
 partition, are shuffled, and only a row a partition reaches the driver. Sequence numbers derive from
 the partition's number and a counter, so a task that runs again gives the same rows.
 
-Defined cases: null and empty texts are the end id alone; ids may repeat (each row is a document of its own).
+Defined cases: null and empty texts are the end id alone; ids may repeat or be null (each row is a document of its own); a very
+long text is encoded whole and cut into full sequences at once; of windows with equal room the one opened first is taken; an empty
+table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

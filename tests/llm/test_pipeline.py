@@ -31,6 +31,16 @@ def test_run_packs_what_the_stages_keep(spark, small):
     assert all(whole[r.doc_id] == r.doc_tokens for r in pieces)
 
 
+def test_stages_on_odd_tables(spark, docs, clashing, odd_rows, tmp_path):
+    """Null, empty, very long and repeated texts, clashing columns; then empty tables. Brute force: one row of each set of words stays."""
+    for name, df in (("odd", clashing(odd_rows)), ("none", docs([]))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in got} == ({3, 5, 7, 9} if name == "odd" else set())
+        assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+
+
 def test_clean_documents_pass_toxicity(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")

@@ -152,12 +152,13 @@ def test_bpe_tables_turn_over(word_bpe, monkeypatch):
         same(word_bpe, [f"common words and rare{k} some{k * 7}thing"] * 2)
 
 
-def test_bpe_frame(docs, odd_rows):
+def test_bpe_frame(docs, odd_rows, clashing):
     got = bpe.encode_decode(docs(odd_rows), P.path("word_bpe_49k.json"), outputs=True).collect()
     assert len(got) == len(odd_rows)
     r = next(r for r in got if r.id == 6)
     assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.decoded == "a</w> b</w> c</w>"
     assert bpe.encode_decode(docs([]), P.path("word_bpe_49k.json")).count() == 0
+    assert bpe.encode_decode(clashing(odd_rows), P.path("word_bpe_49k.json")).count() == len(odd_rows)
 
 
 @settings(max_examples=200, deadline=None)
@@ -297,7 +298,45 @@ def test_packer_loses_nothing(windows):
         assert np.array_equal(np.concatenate([p for _, p in sorted(back[k], key=lambda x: x[0])]), ids)
 
 
-def test_packing_covers_all(docs, odd_rows):
+def placed_by_brute_force(lengths, length, windows):
+    """The same rules, with a plain search over all open windows. Sequences as lists of (doc, start, size)."""
+    open_, done, opened = {}, [], 0
+    room = lambda n: length - sum(p[2] for p in open_[n])
+    for doc, size in lengths:
+        start = 0
+        while size - start >= length:
+            done.append([(doc, start, length)])
+            start += length
+        while start < size:
+            need = size - start
+            fits = [(room(n), n) for n in open_ if room(n) >= need]
+            if fits:
+                _, n = min(fits)
+            elif len(open_) < windows:
+                n, opened = opened, opened + 1
+                open_[n] = []
+            else:
+                _, n = min((room(n), n) for n in open_)  # the fullest takes what it can
+            part = min(need, room(n))
+            open_[n].append((doc, start, part))
+            start += part
+            if room(n) == 0:
+                done.append(open_.pop(n))
+    return done, open_
+
+
+@pytest.mark.parametrize("windows", [1, 2, 5, 64])
+def test_best_fit_and_fullest_by_brute_force(windows):
+    rnd = random.Random(20 + windows)
+    lengths = [(k, rnd.choice([1, 5, 31, 32, 33, 64, 65, rnd.randrange(1, 200)])) for k in range(400)]
+    packer = packing.Packer(64, windows)
+    got = [[(d, s, len(i)) for d, s, i, _ in seq] for k, n in lengths for seq in packer.add(k, np.zeros(n, np.uint32))]
+    done, still = placed_by_brute_force(lengths, 64, windows)
+    assert got == done
+    assert sorted([[(d, s, len(i)) for d, s, i, _ in p] for p in packer.pieces.values()]) == sorted(still.values())
+
+
+def test_packing_covers_all(docs, odd_rows, clashing):
     rows = [r for r in odd_rows if r[0] != 10] + [(100 + k, "words " * (k * 13)) for k in range(60)]
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows}
@@ -316,6 +355,7 @@ def test_packing_covers_all(docs, odd_rows):
             at += length
         assert at <= 2048 and at & at - 1 == 0
     assert packing.pack(docs([]), packing.byte_bpe_50k()).count() == 0
+    assert {r.doc_id for r in packing.pack(clashing(odd_rows + [(None, "x")]), packing.byte_bpe_50k()).collect()} == {i for i, _ in odd_rows} | {None}
 
 
 def test_surrogates_are_one_to_one_and_keep_their_form():

@@ -140,11 +140,11 @@ def bilinear_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f11_normalise_text", r"""
-SELECT doc_id, trim(regexp_replace(translate(lower(text[1:60]), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g')) AS plain FROM documents
+SELECT doc_id, trim(regexp_replace(translate(lower(text), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\s+', ' ', 'g')) AS plain FROM documents
 """)
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles: the first 60 characters are what the report shows."""
-    return table(spark, sf_dir, "documents").select("doc_id", scalar.normalised(F.substring("text", 1, 60)).alias("plain"))
+    """Small letters without accents, blanks collapsed, of the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalar.normalised(F.col("text")).alias("plain"))
 
 
 @query("f12_value_range", """

@@ -80,16 +80,15 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter(closed).select("l_orderkey", "l_linenumber", closed.alias("closed"), in_box(x, y, box, half_open=True).alias("half_open"))
 
 
-@query("w04_clip_points", """
-SELECT c_custkey, least(greatest(c_acctbal, 1000.0), 5000.0) AS x FROM customer
+@query("w04_clip_segments", """
+SELECT c_custkey, greatest(c_acctbal - 800, 1000.0) AS x0, least(c_acctbal + 800, 5000.0) AS x1 FROM customer
 WHERE c_acctbal BETWEEN 1000.0 AND 5000.0 AND c_nationkey BETWEEN 5 AND 15
 """)
-def clip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features whose representative point lies in a box, cut to it."""
-    return (
-        table(spark, sf_dir, "customer").filter(in_box(F.col("c_acctbal"), F.col("c_nationkey"), (1000.0, 5, 5000.0, 15)))
-        .select("c_custkey", F.least(F.greatest("c_acctbal", F.lit(1000.0)), F.lit(5000.0)).alias("x"))
-    )
+def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 800 to either side whose middle lies in a box, cut to it."""
+    x = F.col("c_acctbal")
+    inside = table(spark, sf_dir, "customer").filter(in_box(x, F.col("c_nationkey"), (1000.0, 5, 5000.0, 15)))
+    return inside.select("c_custkey", F.greatest(x - 800, F.lit(1000.0)).alias("x0"), F.least(x + 800, F.lit(5000.0)).alias("x1"))
 
 
 @query("w05_numbers_in_text", r"""

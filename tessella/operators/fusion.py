@@ -103,7 +103,7 @@ def fused_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("e07_additions", """
-WITH RECURSIVE c AS (SELECT c_custkey AS id, CAST(floor(c_acctbal * 100) AS BIGINT) AS x FROM customer WHERE c_mktsegment = 'BUILDING'),
+WITH RECURSIVE c AS (SELECT c_custkey AS id, CAST(floor(c_acctbal * 100) AS BIGINT) AS x FROM customer),
 n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE abs(CAST(floor(s.s_acctbal * 100) AS BIGINT) - c.x) <= 1500)),
 b AS (SELECT p.id AS src, q.id AS dst FROM n p JOIN n q ON p.id <> q.id AND abs(p.x - q.x) <= 400),
 g AS (SELECT id AS node, id AS label FROM n UNION SELECT b.dst, g.label FROM g JOIN b ON b.src = g.node WHERE g.label < b.dst),
@@ -112,7 +112,7 @@ SELECT addition, count(*) AS n FROM k GROUP BY addition HAVING count(*) >= 2
 """)
 def additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates not near an existing entity, clustered; clusters of two or more are accepted."""
-    c = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("src"), hundredths("c_acctbal").alias("x"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), hundredths("c_acctbal").alias("x"))
     s = table(spark, sf_dir, "supplier").select(hundredths("s_acctbal").alias("y"))
     n = c.join(near_pairs(c, s, ["x"], ["y"], 1500.0).select("src").distinct(), "src", "left_anti")
     pairs = near_pairs(n, n.select(F.col("src").alias("dst"), F.col("x").alias("y")), ["x"], ["y"], 400.0).filter("src < dst")

@@ -124,10 +124,10 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p09_round_nested", """
-SELECT vec_id, array_to_string(list_transform(embedding[1:4], lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT)), ',') AS thousandths, label AS kind FROM embeddings
+SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT)), ',') AS thousandths, label AS kind FROM embeddings
 """)
 def round_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values inside arrays rounded, and a column renamed."""
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 1000).cast("string")), ",").alias("thousandths"), F.col("label").alias("kind")
+        "vec_id", F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("string")), ",").alias("thousandths"), F.col("label").alias("kind")
     )

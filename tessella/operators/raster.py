@@ -6,6 +6,8 @@ tile borders without halos and need one exchange a round.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,21 +112,96 @@ def erode_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("ix", "iy").join(n, ["ix", "iy"])
 
 
-@query("r08_fill_depressions", None)
-def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Water level: the least, over ways to the border, of the highest cell on the way; relaxation until nothing changes."""
-    g = saved(surface(spark, sf_dir).filter("z IS NOT NULL AND ix <= 20 AND iy <= 20"))
-    inner = spread(g, EIGHT).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-    level = saved(g.join(inner, ["ix", "iy"], "left").select("ix", "iy", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(1 << 40)).alias("w")))
+def flood(z: dict, w: dict, fixed: dict) -> dict:
+    """Lowers the levels w of cells with heights z to their fixpoint, least level first; fixed: levels of cells about them."""
+    heap = [(level, *at) for at, level in (w | fixed).items()]
+    heapq.heapify(heap)
+    while heap:
+        level, i, j = heapq.heappop(heap)
+        if level > w.get((i, j), level):
+            continue
+        for a, b in EIGHT:
+            at = i + a, j + b
+            if at in w and (new := max(z[at], level)) < w[at]:
+                w[at] = new
+                heapq.heappush(heap, (new, *at))
+    return w
+
+
+def water_level(cells: DataFrame, side: int = 64) -> DataFrame:
+    """ix, iy, z and level: the least, over ways to a border, of the highest cell on the way. Cells that lack a neighbour are border.
+
+    Tiles of side x side cells are flooded apart, with the levels of the cells about them, until no level
+    changes: a round for each tile on the longest way, not for each cell.
+    """
+    known = saved(cells.filter("z IS NOT NULL").select("ix", "iy", "z"))
+    inner = spread(known, EIGHT).groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+    level = saved(known.join(inner, ["ix", "iy"], "left").select("ix", "iy", "z", F.when(F.coalesce("n", F.lit(0)) < 8, F.col("z")).otherwise(F.lit(1 << 40)).alias("w")))
+
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
+        at = list(zip(rows["ix"], rows["iy"], strict=True))
+        own = dict(zip(at, rows["own"], strict=True))
+        z, w = dict(zip(at, rows["z"], strict=True)), dict(zip(at, rows["w"], strict=True))
+        new = flood(z, {k: v for k, v in w.items() if own[k]}, {k: v for k, v in w.items() if not own[k]})
+        return pd.DataFrame([(*k, z[k], w[k], v) for k, v in new.items()], columns=["ix", "iy", "z", "old", "w"])
+
+    tx, ty = (lambda d: F.floor((F.col("ix") + d) / side)), (lambda d: F.floor((F.col("iy") + d) / side))
     while True:
-        about = spread(level.select("ix", "iy", F.col("w").alias("z")), EIGHT).groupBy("ix", "iy").agg(F.min("z").alias("m"))
-        new = F.least("w", F.greatest("z", F.coalesce("m", F.col("w"))))
-        state = saved(level.join(about, ["ix", "iy"], "left").select("ix", "iy", "z", F.col("w").alias("old"), new.alias("w")))
+        tiles_of = F.array_distinct(F.array(*[F.struct(tx(i).alias("tx"), ty(j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        dealt = level.select("ix", "iy", "z", "w", F.explode(tiles_of).alias("t")).select("ix", "iy", "z", "w", "t.*")
+        dealt = dealt.withColumn("own", (F.col("tx") == tx(0)) & (F.col("ty") == ty(0)))
+        state = saved(dealt.groupBy("tx", "ty").applyInPandas(tile, "ix long, iy long, z long, old long, w long"))
         level = state.drop("old")
         if state.filter("w < old").limit(1).count() == 0:
             return level.select("ix", "iy", "z", F.col("w").alias("level"))
 
 
+@query("r08_fill_depressions", None)
+def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return water_level(surface(spark, sf_dir))
+
+
+def smooth(fixed: np.ndarray, z: np.ndarray, target: np.ndarray, lam: float, tolerance: float = 1e-10) -> np.ndarray:
+    """The surface of least sum of squared steps between neighbours plus lam times its squared distance to target, with z where fixed: conjugate gradients."""
+
+    def product(x: np.ndarray) -> np.ndarray:
+        out = lam * x
+        for axis in (0, 1):
+            step = np.diff(x, axis=axis)
+            pad = [(0, 0), (0, 0)]
+            pad[axis] = (1, 1)
+            out -= np.diff(np.pad(step, pad), axis=axis)
+        return out
+
+    x = np.where(fixed, z, target)
+    r = np.where(fixed, 0.0, lam * target - product(x))
+    p, rr = r.copy(), float((r * r).sum())
+    while rr > tolerance**2 * max(1.0, float((target * target).sum())):
+        q = np.where(fixed, 0.0, product(p))
+        alpha = rr / float((p * q).sum())
+        x, r = x + alpha * p, r - alpha * q
+        now = float((r * r).sum())
+        p, rr = r + now / rr * p, now
+    return x
+
+
+@query("r09_smooth_surface", None)
+def smooth_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By tile of 32 x 32 cells: known cells stay, the others take the smoothest surface that leans on the tile's mean."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["i", "j"])
+        z, known = np.zeros((32, 32)), np.zeros((32, 32), bool)
+        at = rows["i"].to_numpy(), rows["j"].to_numpy()
+        known[at] = rows["z"].notna().to_numpy()
+        z[at] = rows["z"].fillna(0).to_numpy()
+        mean = float(z[known].mean()) if known.any() else 0.0
+        x = smooth(known, z, np.full((32, 32), mean), 0.05)
+        return pd.DataFrame({"ix": rows["tx"] * 32 + rows["i"], "iy": rows["ty"] * 32 + rows["j"], "z": x[at]})
+
+    return tiles(surface(spark, sf_dir), 32).groupBy("tx", "ty").applyInPandas(solve, "ix long, iy long, z double")
+
+
 @query("r12_cut_tiles", f"WITH {SURFACE} SELECT ix // 16 AS tx, iy // 16 AS ty, count(*) AS cells, count(z) AS known, min(ix) AS x0, max(ix) AS x1 FROM g GROUP BY 1, 2")
 def cut_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface(spark, sf_dir).groupBy(F.floor(F.col("ix") / 16).alias("tx"), F.floor(F.col("iy") / 16).alias("ty")).agg(
@@ -133,16 +210,16 @@ def cut_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r13_local_relief", f"""
-WITH {SURFACE}, p AS (SELECT ix, iy, z FROM g WHERE ix % 7 = 0 AND iy % 7 = 0 AND z IS NOT NULL),
+WITH {SURFACE}, p AS (SELECT ix, iy, z FROM g WHERE z IS NOT NULL),
 q AS (SELECT p.ix, p.iy, median(CASE WHEN (g.ix - p.ix) * (g.ix - p.ix) + (g.iy - p.iy) * (g.iy - p.iy) <= 1 THEN g.z END) AS disc,
              median(CASE WHEN (g.ix - p.ix) * (g.ix - p.ix) + (g.iy - p.iy) * (g.iy - p.iy) BETWEEN 4 AND 16 THEN g.z END) AS ring
       FROM p JOIN g ON g.ix BETWEEN p.ix - 4 AND p.ix + 4 AND g.iy BETWEEN p.iy - 4 AND p.iy + 4 GROUP BY 1, 2)
 SELECT ix, iy, disc - ring AS relief FROM q
 """)
 def local_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median inside a disc less that of a ring, at sample cells."""
+    """Median inside a disc less that of a ring, at every known cell."""
     g = surface(spark, sf_dir)
-    p = g.filter("ix % 7 = 0 AND iy % 7 = 0 AND z IS NOT NULL").select(F.col("ix").alias("px"), F.col("iy").alias("py"))
+    p = g.filter("z IS NOT NULL").select(F.col("ix").alias("px"), F.col("iy").alias("py"))
     near = [(i, j) for i in range(-4, 5) for j in range(-4, 5) if i * i + j * j <= 16]
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d2")) for i, j in near])
     q = p.select("px", "py", F.explode(offsets).alias("o")).select("px", "py", (F.col("px") + F.col("o.i")).alias("ix"), (F.col("py") + F.col("o.j")).alias("iy"), "o.d2").join(g, ["ix", "iy"])
@@ -151,28 +228,27 @@ def local_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r14_label_cells", f"""
-WITH RECURSIVE {SURFACE}, m AS (SELECT ix * 100000 + iy AS id, ix, iy FROM g WHERE z < 60 AND iy <= 60),
+WITH RECURSIVE {SURFACE}, m AS (SELECT ix * 100000 + iy AS id, ix, iy FROM g WHERE z < 60),
 b AS (SELECT x.id AS src, y.id AS dst FROM m x JOIN o ON TRUE JOIN m y ON y.ix = x.ix + o.i AND y.iy = x.iy + o.j),
 c AS (SELECT id AS node, id AS label FROM m UNION SELECT b.dst, c.label FROM c JOIN b ON b.src = c.node WHERE c.label < b.dst)
 SELECT node, min(label) AS component FROM c GROUP BY node
 """)
 def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8-connected areas of low cells, named by their least cell."""
-    m = surface(spark, sf_dir).filter("z < 60 AND iy <= 60").select("ix", "iy", (F.col("ix") * 100000 + F.col("iy")).alias("z"))
+    m = surface(spark, sf_dir).filter("z < 60").select("ix", "iy", (F.col("ix") * 100000 + F.col("iy")).alias("z"))
     ahead = [s for s in EIGHT if s > (0, 0)]
     edges = spread(m, ahead).withColumnRenamed("z", "src").join(m.withColumnRenamed("z", "dst"), ["ix", "iy"]).select("src", "dst")
     return components(edges, m.select(F.col("z").alias("node")))
 
 
-def fill_nearest(cells: DataFrame, rounds: int = 1000) -> DataFrame:
+def fill_nearest(cells: DataFrame) -> DataFrame:
     """Null cells get the value of the nearest known one in king's moves; equal distances go to the smaller value."""
-    for _ in range(rounds):
+    while True:
         about = spread(cells.filter("z IS NOT NULL"), EIGHT).groupBy("ix", "iy").agg(F.min("z").alias("m"))
         state = saved(cells.join(about, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("z", "m").alias("z"), (F.col("z").isNull() & F.col("m").isNotNull()).alias("new")))
         cells = state.drop("new")
         if state.filter("new").limit(1).count() == 0:
-            break
-    return cells
+            return cells
 
 
 @query("r05_fill_nearest", None)
@@ -234,13 +310,13 @@ def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r11_most_specific_zone", """
-WITH z AS (SELECT p_partkey AS id, p_size AS x0, p_size + 1 + p_partkey % 6 AS x1, p_partkey % 4 AS rank FROM part WHERE p_partkey % 3 = 0),
+WITH z AS (SELECT p_partkey AS id, p_size AS x0, p_size + 1 + p_partkey % 6 AS x1, p_partkey % 4 AS rank FROM part),
 q AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS ix FROM lineitem), h AS (SELECT q.ix, z.id, row_number() OVER (PARTITION BY q.ix ORDER BY z.rank DESC, z.x1 - z.x0, z.id) AS n FROM q JOIN z ON q.ix >= z.x0 AND q.ix < z.x1)
 SELECT ix, id FROM h WHERE n = 1
 """)
 def most_specific_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zone of highest rank over a cell, the narrowest of those."""
-    z = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_size").cast("long").alias("x0"), (1 + F.col("p_partkey") % 6).alias("width"), (F.col("p_partkey") % 4).alias("rank"))
+    z = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("x0"), (1 + F.col("p_partkey") % 6).alias("width"), (F.col("p_partkey") % 4).alias("rank"))
     cells = z.withColumn("ix", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("width") - 1)))
     places = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("ix")).distinct()
     best = places.join(cells, "ix").groupBy("ix").agg(F.min(F.struct((-F.col("rank")).alias("r"), "width", F.col("p_partkey").alias("id"))).alias("m"))

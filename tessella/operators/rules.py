@@ -10,10 +10,12 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import saved
 from ..registry import query, table
 
 #: Severities and their weights.
@@ -76,15 +78,18 @@ def label_range(spark: SparkSession, sf_dir: str):
 
 
 def results(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
-    """All tested rows of the rules that could be run: rule, family, severity, entity, ok, value."""
+    """All tested rows of the rules that could be run: rule, family, severity, entity, ok, value.
+
+    Each rule runs and is stored apart, so one that fails, in its plan or on a row, leaves a note and stops no other.
+    """
     out = None
     for r in RULES.values():
         if names and r.name not in names:
             continue
         try:
             rows, entity, ok, value = r.check(spark, sf_dir)
-            found = rows.select(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), F.lit(r.severity).alias("severity"), entity.cast("long").alias("entity"), F.coalesce(ok, F.lit(False)).alias("ok"), value.cast("long").alias("value"))
-        except PySparkException as e:
+            found = saved(rows.select(F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), F.lit(r.severity).alias("severity"), entity.cast("long").alias("entity"), F.coalesce(ok, F.lit(False)).alias("ok"), value.cast("long").alias("value")))
+        except (PySparkException, Py4JError) as e:
             note = str(e).splitlines()[0][:60]
             found = spark.createDataFrame([(r.name, f"not run: {note}", r.severity, None, False, None)], "rule string, family string, severity string, entity long, ok boolean, value long")
         out = found if out is None else out.unionByName(found)

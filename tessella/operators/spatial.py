@@ -96,14 +96,13 @@ def segment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j08_vertical_hits", """
-WITH t AS (SELECT p_partkey, p_size AS x0, p_size + 4 AS x1, CAST(floor(p_retailprice * 100) AS BIGINT) AS z FROM part WHERE p_partkey % 5 = 0)
+WITH t AS (SELECT p_partkey, p_size AS x0, p_size + 4 AS x1, CAST(floor(p_retailprice * 100) AS BIGINT) AS z FROM part)
 SELECT l.q AS q, count(*) AS hits, max(z) AS top, min(z) AS bottom, max_by(p_partkey, z * 100000 + p_partkey) AS top_id
 FROM (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS q FROM lineitem) l JOIN t ON l.q >= t.x0 AND l.q < t.x1 GROUP BY l.q
 """)
 def vertical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces over a place: number, highest and lowest."""
-    t = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 5 == 0)
-    t = t.select("p_partkey", hundredths("p_retailprice").alias("z"), F.explode(F.sequence(F.col("p_size").cast("long"), F.col("p_size").cast("long") + 3)).alias("q"))
+    t = table(spark, sf_dir, "part").select("p_partkey", hundredths("p_retailprice").alias("z"), F.explode(F.sequence(F.col("p_size").cast("long"), F.col("p_size").cast("long") + 3)).alias("q"))
     places = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("q")).distinct()
     return places.join(t, "q").groupBy("q").agg(
         F.count(F.lit(1)).alias("hits"), F.max("z").alias("top"), F.min("z").alias("bottom"), F.max_by("p_partkey", F.col("z") * 100000 + F.col("p_partkey")).alias("top_id")
@@ -213,14 +212,14 @@ def station_or_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j25_overlapping_areas", """
-WITH a AS (SELECT p_partkey AS id, p_size AS x0, p_size + 3 AS x1, CAST(floor(p_retailprice) AS BIGINT) AS y0, CAST(floor(p_retailprice) AS BIGINT) + 4 AS y1, p_brand FROM part WHERE p_partkey % 2 = 0)
+WITH a AS (SELECT p_partkey AS id, p_size AS x0, p_size + 3 AS x1, CAST(floor(p_retailprice) AS BIGINT) AS y0, CAST(floor(p_retailprice) AS BIGINT) + 4 AS y1, p_brand FROM part)
 SELECT a.id AS i, b.id AS j, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area
 FROM a JOIN a b ON a.id < b.id AND a.p_brand <> b.p_brand AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)
 WHERE (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 3
 """)
 def overlapping_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs i < j of areas that share cells over a threshold, unless the pair of kinds is allowed (same brand)."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 2 == 0)
+    p = table(spark, sf_dir, "part")
     y = F.floor("p_retailprice")
     cells = p.select(F.col("p_partkey").alias("id"), "p_brand", F.explode(F.sequence(F.col("p_size"), F.col("p_size") + 2)).alias("x"), y.alias("y0"))
     cells = cells.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + 3))).drop("y0")
@@ -229,26 +228,40 @@ def overlapping_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.count(F.lit(1)).alias("area")).filter("area >= 3")
 
 
+def band_pairs(df: DataFrame, group: str, x: str, r: int, key: str, order: list[str]) -> DataFrame:
+    """Pairs (better, worse) of keys of a group within r (inclusive) in x; the better comes first in order."""
+    first = F.struct(*order)
+    left = df.select(F.col(group).alias("_g"), F.floor(F.col(x) / r).alias("_c"), F.col(x).alias("_x"), F.col(key).alias("better"), first.alias("_o"))
+    right = df.select(F.col(group).alias("_g"), F.explode(F.array(*[F.floor(F.col(x) / r) + s for s in (-1, 0, 1)])).alias("_c"), F.col(x).alias("_y"), F.col(key).alias("worse"), first.alias("_p"))
+    return left.join(right, ["_g", "_c"]).filter((F.abs(F.col("_x") - F.col("_y")) <= r) & (F.col("_o") < F.col("_p"))).select("better", "worse")
+
+
+def first_choices(keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What a pass from best to worst keeps, when each kept key rules out the worse ones it is paired with.
+
+    keys: key; pairs: better, worse. In rounds: a key without a better open one is kept, its partners go. No
+    group is handled by one task, and random orders need about log n rounds.
+    """
+    from .graph import saved
+
+    still, pairs = saved(keys.select("key")), saved(pairs)
+    kept = still.limit(0)
+    while True:
+        new = saved(still.join(pairs.select(F.col("worse").alias("key")).distinct(), "key", "left_anti"))
+        kept = kept.union(new)
+        ruled = pairs.join(new, pairs.better == new.key).select("worse").distinct()
+        still = saved(still.join(new, "key", "left_anti").join(ruled, still.key == ruled.worse, "left_anti"))
+        if still.limit(1).count() == 0:
+            return kept
+        pairs = saved(pairs.join(still, pairs.better == still.key, "left_semi").join(still, pairs.worse == still.key, "left_semi"))
+
+
 @query("x04_best_first_within_radius", None)
 def best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best value first; later rows within 1 of a kept one, of the same method, go. Sequential within a method's cells that touch."""
+    """Best value first; later rows within 1 of a kept one, of the same method, go."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", hundredths("p_retailprice").alias("x"), F.col("p_size").cast("long").alias("sigma"))
-    w = Window.partitionBy("p_brand").orderBy("x", "p_partkey")
-    # Rows over 100 apart cannot meet: the runs between such gaps are handled apart, so groups stay small.
-    gap = (F.col("x") - F.lag("x").over(w) > 100).cast("int")
-    runs = p.withColumn("run", F.sum(F.coalesce(gap, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def keep(rows):
-        rows = rows.sort_values(["sigma", "p_partkey"])
-        kept: list[int] = []
-        mask = []
-        for x in rows["x"].tolist():
-            mask.append(all(abs(x - k) > 100 for k in kept))
-            if mask[-1]:
-                kept.append(x)
-        return rows[mask][["p_partkey", "p_brand", "x", "sigma"]]
-
-    return runs.groupBy("p_brand", "run").applyInPandas(keep, "p_partkey long, p_brand string, x long, sigma long")
+    kept = first_choices(p.select(F.col("p_partkey").alias("key")), band_pairs(p, "p_brand", "x", 100, "p_partkey", ["sigma", "p_partkey"]))
+    return p.join(kept, p.p_partkey == kept.key, "left_semi")
 
 
 def centred(x: Column, y: Column, x0: float, y0: float, cos: float, sin: float) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import json
 import time
 from collections.abc import Callable, Iterable
 
@@ -137,3 +139,90 @@ def retried(call: Callable, tries: int = 5, base: float = 1.0, sleep: Callable[[
 def promoted(df: DataFrame, properties: str, names: dict[str, T.DataType]) -> DataFrame:
     """Typed columns from a map of texts; a text that does not fit its type is null."""
     return df.withColumns({n: F.col(properties)[n].try_cast(t) for n, t in names.items()})
+
+
+def read_json(path: str, tries: int = 3, wait: float = 0.2):
+    """A JSON file that another process may be rewriting: read again when it is cut off or gone."""
+    for attempt in range(tries):
+        try:
+            with open(path, encoding="utf-8") as f:
+                return json.load(f)
+        except (json.JSONDecodeError, FileNotFoundError):
+            if attempt == tries - 1:
+                raise
+            time.sleep(wait * 2**attempt)
+
+
+def scalar_value(text: str):
+    """A plain scalar: quoted text, null, boolean, number, list in brackets, or text."""
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1].replace("''", "'") if text[0] == "'" else json.loads(text)
+    if text.startswith("[") and text.endswith("]"):
+        return [scalar_value(x) for x in text[1:-1].split(",") if x.strip()]
+    if text in ("", "~", "null"):
+        return None
+    if text in ("true", "false"):
+        return text == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def read_yaml(text: str):
+    """A subset of YAML: nested mappings and lists by indentation, scalars, comments. Anything else is an error."""
+    lines = []
+    for number, raw in enumerate(text.splitlines(), 1):
+        bare = re.sub(r"""^((?:[^#'"]|'[^']*'|"[^"]*")*?)(?:^|\s)#.*$""", r"\1", raw).rstrip()
+        if bare.strip() and bare.strip() != "---":
+            if "\t" in bare[: len(bare) - len(bare.lstrip())]:
+                raise ValueError(f"line {number}: a tab indents")
+            lines.append((len(bare) - len(bare.lstrip()), bare.lstrip(), number))
+
+    def pair(body: str, number: int) -> tuple[str, str]:
+        m = re.fullmatch(r"""("[^"]*"|'[^']*'|[^:]+?)\s*:(?:\s+(.*))?""", body)
+        if not m:
+            raise ValueError(f"line {number}: neither a key nor an item")
+        return str(scalar_value(m[1])), m[2] or ""
+
+    def block(at: int, indent: int):
+        listed = lines[at][1].startswith("- ") or lines[at][1] == "-"
+        out = [] if listed else {}
+        while at < len(lines) and lines[at][0] == indent:
+            _, body, number = lines[at]
+            if listed != (body.startswith("- ") or body == "-"):
+                raise ValueError(f"line {number}: a list and a mapping are mixed")
+            if listed:
+                rest = body[1:].strip()
+                if re.match(r"""(?:"[^"]*"|'[^']*'|[^:\['"]+?)\s*:(?:\s|$)""", rest):  # a mapping starts on the item's line
+                    lines[at] = (indent + len(body) - len(rest), rest, number)
+                    value, at = block(at, lines[at][0])
+                else:
+                    value, at = inner(rest, at, indent)
+                out.append(value)
+            else:
+                key, rest = pair(body, number)
+                if key in out:
+                    raise ValueError(f"line {number}: {key} is there twice")
+                out[key], at = inner(rest, at, indent)
+        if at < len(lines) and lines[at][0] > indent:
+            raise ValueError(f"line {lines[at][2]}: unexpected indentation")
+        return out, at
+
+    def inner(rest: str, at: int, indent: int):
+        if rest:
+            return scalar_value(rest), at + 1
+        at += 1
+        if at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("- ") and not lines[at - 1][1].startswith("-")):
+            return block(at, lines[at][0])
+        return None, at
+
+    if not lines:
+        return None
+    value, at = block(0, lines[0][0])
+    if at < len(lines):
+        raise ValueError(f"line {lines[at][2]}: unexpected indentation")
+    return value

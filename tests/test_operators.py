@@ -232,3 +232,194 @@ def test_every_customer_is_simulated(spark, small):
 
     out = QUERIES["t06_micro_simulation"](spark, small)
     assert out.count() == spark.read.parquet(f"{small}/customer.parquet").count() == out.select("corridor", "block", "vehicle").distinct().count()
+
+
+def greedy(rows, clash):
+    """A pass from best to worst that keeps what clashes with nothing kept."""
+    kept = []
+    for r in rows:
+        if not any(clash(r, k) for k in kept):
+            kept.append(r)
+    return kept
+
+
+def test_best_first_by_brute_force(spark, small):
+    from tessella.catalog import QUERIES
+
+    parts = spark.read.parquet(f"{small}/part.parquet").selectExpr("p_partkey", "p_brand", "CAST(floor(p_retailprice * 100) AS BIGINT) x", "p_size").collect()
+    want = greedy(sorted(parts, key=lambda r: (r.p_size, r.p_partkey)), lambda a, b: a.p_brand == b.p_brand and abs(a.x - b.x) <= 100)
+    assert {r.p_partkey for r in QUERIES["x04_best_first_within_radius"](spark, small).collect()} == {r.p_partkey for r in want}
+    rank = {"purchase": 0, "click": 1}
+    events = spark.read.parquet(f"{small}/events.parquet").selectExpr("event_id", "user_id", "event_type", "unix_micros(CAST(ts AS timestamp)) t").collect()
+    events.sort(key=lambda r: (rank.get(r.event_type, 2), r.t, r.event_id))
+    want = greedy(events, lambda a, b: a.user_id == b.user_id and abs(a.t - b.t) < 21_600_000_000)
+    assert {r.event_id for r in QUERIES["o07_spaced_selection"](spark, small).collect()} == {r.event_id for r in want}
+
+
+def test_first_choices_of_random_clashes(spark):
+    rnd = random.Random(21)
+    pairs = {(a, b) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(150)) if a < b}
+    got = spatial.first_choices(spark.range(60).withColumnRenamed("id", "key"), spark.createDataFrame(sorted(pairs), "better long, worse long"))
+    assert {r.key for r in got.collect()} == set(greedy(range(60), lambda a, b: (b, a) in pairs))
+
+
+def test_greedy_cover_by_brute_force(spark, small):
+    from tessella.catalog import QUERIES
+
+    li = spark.read.parquet(f"{small}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    got = sorted(QUERIES["o06_greedy_cover"](spark, small).collect(), key=lambda r: (r.zone, r.place))
+    for zone in {r.l_suppkey % 25 for r in li}:
+        done, rest, want = set(), {r.l_suppkey for r in li if r.l_suppkey % 25 == zone}, []
+        while rest:
+            gain = {s: len({r.l_partkey for r in li if r.l_suppkey == s} - done) for s in rest}
+            best = min(rest, key=lambda s: (-gain[s], s))
+            if not gain[best]:
+                break
+            want.append((best, gain[best]))
+            done |= {r.l_partkey for r in li if r.l_suppkey == best}
+            rest.remove(best)
+        assert [(r.l_suppkey, r.gain) for r in got if r.zone == zone] == want
+
+
+def test_running_sums_over_ranges(spark):
+    from tessella.operators import ordering
+
+    rnd = random.Random(22)
+    rows = [(k, rnd.randrange(9), rnd.randrange(5)) for k in range(500)]
+    got = {r.id: r.before for r in ordering.running(spark.createDataFrame(rows, "id long, a long, v long").repartition(7), ["a", F.col("id").desc()], F.col("v"), "before").collect()}
+    at = 0
+    for k, _, v in sorted(rows, key=lambda r: (r[1], -r[0])):
+        assert got[k] == at
+        at += v
+    assert ordering.running(spark.createDataFrame([], "a long"), ["a"], F.lit(1), "n").count() == 0
+
+
+@pytest.mark.parametrize("side", [3, 64])
+def test_water_level_by_relaxation(spark, side):
+    rnd = random.Random(23)
+    z = {(i, j): rnd.randrange(30) for i in range(14) for j in range(11) if rnd.random() > 0.03}
+    w = {at: h if any((at[0] + a, at[1] + b) not in z for a, b in raster.EIGHT) else 1 << 40 for at, h in z.items()}
+    changed = True
+    while changed:
+        changed = False
+        for at in z:
+            low = max(z[at], min(w.get((at[0] + a, at[1] + b), 1 << 40) for a, b in raster.EIGHT))
+            if low < w[at]:
+                w[at], changed = low, True
+    cells = spark.createDataFrame([(*at, h) for at, h in z.items()], "ix long, iy long, z long")
+    assert {(r.ix, r.iy): r.level for r in raster.water_level(cells, side).collect()} == w
+
+
+def test_smooth_surface_solves_its_equations():
+    rnd = np.random.default_rng(1)
+    shape, lam = (5, 6), 0.3
+    fixed, z, target = rnd.random(shape) < 0.3, rnd.normal(size=shape), rnd.normal(size=shape)
+    n = fixed.size
+    a, b = np.eye(n) * lam, lam * target.ravel()
+    for i, j in itertools.product(*map(range, shape)):
+        for di, dj in ((0, 1), (1, 0)):
+            if i + di < shape[0] and j + dj < shape[1]:
+                p, q = i * shape[1] + j, (i + di) * shape[1] + j + dj
+                a[p, p] += 1
+                a[q, q] += 1
+                a[p, q] -= 1
+                a[q, p] -= 1
+    f = fixed.ravel()
+    a[f], b[f] = np.eye(n)[f], z.ravel()[f]
+    assert np.allclose(raster.smooth(fixed, z, target, lam).ravel(), np.linalg.solve(a, b), atol=1e-7)
+
+
+def test_failing_rules_stop_no_other(spark, small, monkeypatch):
+    def late(spark, sf_dir):
+        rows = spark.range(3)
+        return rows, F.col("id"), F.raise_error(F.lit("on a row")).cast("boolean"), F.col("id")
+
+    def early(spark, sf_dir):
+        return spark.range(3).select("missing"), F.col("id"), F.lit(True), F.col("id")
+
+    one = next(iter(rules.RULES.values()))
+    made = {n: type(one)(**{**vars(one), "name": n, "check": c}) for n, c in (("late", late), ("early", early))}
+    monkeypatch.setattr(rules, "RULES", {**made, one.name: one})
+    got = {r.rule: (r.n, r.note) for r in rules.results(spark, small).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.max("family").alias("note")).collect()}
+    assert got["late"][0] == got["early"][0] == 1 and got["late"][1].startswith("not run") and got["early"][1].startswith("not run")
+    assert got[one.name][0] > 100
+
+
+def test_pages_with_a_filter_of_the_service(spark):
+    asked = "kind IN ('a', 'it''s') AND v >= 3"
+
+    def fetch(cell, start, count, where):
+        assert where == asked
+        rows = [{"id": i, "v": float(i), "kind": "a" if i % 2 else "b"} for i in range(25)]  # the service is loose
+        return rows[start : start + count]
+
+    got = paged.paged(spark, fetch, [(0, 0, 1, 1)], "id long, v double, kind string", count=10, pushed=[("kind", "in", ["a", "it's"]), ("v", ">=", 3)], residual="id < 20")
+    assert sorted(r.id for r in got.collect()) == list(range(3, 20, 2))
+
+
+def test_kept_rows_pictures_and_types(spark, tmp_path):
+    df = spark.createDataFrame([(k, f'a<"{k}"&', k / 3) for k in range(10)], "id long, name string, v double")
+    sinks.write_kept(df, spark.range(0, 10, 3), "id", f"{tmp_path}/kept")
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/kept").collect()) == [0, 3, 6, 9]
+    lines = [r.value for r in sinks.vehicle_types(df.limit(2), "id", ["name", "v"]).collect()]
+    assert lines[1] == '<vType id="1" name="a&lt;&quot;1&quot;&amp;" v="0.333"/>'
+    cells = spark.createDataFrame([(i, j, float(i * 10 + j)) for i in range(6) for j in range(4)], "ix long, iy long, z double")
+    found = {(r.tx, r.ty): bytes(r.png) for r in sinks.pictures(cells, 4, 0.0, 51.0).collect()}
+    assert set(found) == {(0, 0), (1, 0)}
+    body = found[0, 0]
+    assert body[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", body[16:24]) == (4, 4)
+    at = body.index(b"IDAT")
+    grey = zlib.decompress(body[at + 4 : at + 4 + struct.unpack(">I", body[at - 4 : at])[0]])
+    assert [grey[k * 5 + 1] for k in range(4)] == [15, 10, 5, 0] and grey[4] == 165
+
+
+def test_geotiff_tags():
+    values = np.arange(12, dtype=float).reshape(3, 4)
+    raw = sinks.geotiff(values, 100.0, 200.0, 0.5, 2154)
+    n = struct.unpack_from("<H", raw, 8)[0]
+    tags = {t: (kind, m, v) for t, kind, m, v in (struct.unpack_from("<HHII", raw, 10 + 12 * k) for k in range(n))}
+    assert tags[256][2] == 4 and tags[257][2] == 3 and list(tags) == sorted(tags)
+    assert np.array_equal(np.frombuffer(raw, "<f4", 12, tags[273][2]).reshape(3, 4), values)
+    assert struct.unpack_from("<3d", raw, tags[33550][2]) == (0.5, 0.5, 0.0) and struct.unpack_from("<6d", raw, tags[33922][2])[3:5] == (100.0, 200.0)
+    assert struct.unpack_from("<16H", raw, tags[34735][2])[-1] == 2154
+
+
+def test_yaml_subset():
+    text = """
+# a description
+name: "R 01"   # said
+size: 3
+width: 3.5
+open: true
+none:
+list: [1, a, 'b c']
+roads:
+  - id: r1
+    lanes: [2, 1]
+    ends:
+      from: a
+      to: b
+  - id: r2
+tags:
+- x
+- 'it''s # not a comment'
+"""
+    assert readers.read_yaml(text) == {
+        "name": "R 01", "size": 3, "width": 3.5, "open": True, "none": None, "list": [1, "a", "b c"],
+        "roads": [{"id": "r1", "lanes": [2, 1], "ends": {"from": "a", "to": "b"}}, {"id": "r2"}], "tags": ["x", "it's # not a comment"],
+    }
+    assert readers.read_yaml("") is None and readers.read_yaml("- 1\n- b") == [1, "b"]
+    for bad in ("a: 1\n   b: 2", "a: 1\na: 2", "a: 1\n- b", "\ta: 1", "just text"):
+        with pytest.raises(ValueError, match="line"):
+            readers.read_yaml(bad)
+
+
+def test_json_under_rewrite(tmp_path):
+    path = tmp_path / "x.json"
+    path.write_text('{"a": 1')
+    with pytest.raises(json.JSONDecodeError):
+        readers.read_json(str(path), 2, 0.01)
+    import threading
+
+    threading.Timer(0.15, lambda: path.write_text('{"a": 1}')).start()
+    assert readers.read_json(str(path), 6, 0.05) == {"a": 1}

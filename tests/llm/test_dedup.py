@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -249,6 +250,18 @@ def test_near_copies_of_similarity_08(docs, odd_rows, hot, monkeypatch):
     assert kept == {i for i, c in want.items() if c == i}
 
 
+def test_signatures_agree_as_often_as_counted(spark):
+    rnd = random.Random(15)
+    rows = []
+    for k in range(40):
+        a = bytes(rnd.randrange(256) for _ in range(128))
+        b = bytes(x if rnd.random() < 0.6 else rnd.choice([0, 1, 127, 128, 255, x ^ 128]) for x in a)
+        rows.append((k, *(np.frombuffer(x, np.int64).tolist() for x in (a, b)), sum(x == y for x, y in zip(a, b))))
+    df = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, n long")
+    assert all(r.alike == (r.n >= near_dedup.LEAST) for r in df.select("n", near_dedup._alike("a", "b").alias("alike")).collect())
+    assert {r[3] >= near_dedup.LEAST for r in rows} == {True, False}
+
+
 def test_near_copies_keep_columns(docs, clashing, odd_rows):
     df = clashing(odd_rows)
     out = near_dedup.drop_near_copies(df)

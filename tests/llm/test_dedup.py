@@ -250,6 +250,29 @@ def test_near_copies_of_similarity_08(docs, odd_rows, hot, monkeypatch):
     assert kept == {i for i, c in want.items() if c == i}
 
 
+@pytest.mark.parametrize("crowd, carried, hot", [(3, 512, 1000), (3, 6, 4), (60, 512, 1000)])
+def test_crowds_of_near_copies(docs, crowd, carried, hot, monkeypatch):
+    """Groups around texts that are not in the table, edited little and much, at shared and at own places; a crowded key and none."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "CARRIED", carried)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "HOT_PARTS", 100_000)
+    rnd = random.Random(21)
+    rows = []
+    for g, n in enumerate((40, 90, 150)):
+        base = prose(rnd, n).split()
+        for k in range(60):
+            words = list(base)
+            for _ in range(rnd.choice((0, 1, 2, n // 30, n // 22, n // 15)) if g < 2 else n // 35 + rnd.randrange(3)):
+                at = rnd.choice((7, 21, rnd.randrange(n), rnd.randrange(n)))
+                words[at] = rnd.choice((f"other{rnd.randrange(3)}", f"own{rnd.randrange(10**6)}"))
+            rows.append((1000 * g + k, " ".join(words[: n - rnd.choice((0, 0, 0, 2, n // 8))])))
+    got = {r.id: r.component for r in near_dedup.classes(docs(rows)).collect()}
+    want = near_by_brute_force(rows)
+    assert got == want
+    assert len(set(want.values())) > 20
+
+
 def test_signatures_agree_as_often_as_counted(spark):
     rnd = random.Random(15)
     rows = []

@@ -273,6 +273,16 @@ def test_crowds_of_near_copies(docs, crowd, carried, hot, monkeypatch):
     assert len(set(want.values())) > 20
 
 
+def test_crowds_keep_their_smallest_node(docs, monkeypatch):
+    """Copies with an own word each share crowded keys only; the node that names the cluster is linked like the others."""
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    rnd = random.Random(8)
+    base = prose(rnd, 120).split()
+    rows = [(k, " ".join([*base[: 9 * k + 5], f"own{k}", *base[9 * k + 6 :]])) for k in range(12)]
+    got = {r.id: r.component for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == near_by_brute_force(rows) == dict.fromkeys(range(12), 0)
+
+
 def test_signatures_agree_as_often_as_counted(spark):
     rnd = random.Random(15)
     rows = []

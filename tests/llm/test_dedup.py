@@ -283,6 +283,16 @@ def test_crowds_keep_their_smallest_node(docs, monkeypatch):
     assert got == near_by_brute_force(rows) == dict.fromkeys(range(12), 0)
 
 
+def test_components_of_stars_and_paths(spark):
+    """Stars that are given stay as they are; paths and rings become stars on their smallest nodes."""
+    def found(edges):
+        return {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+
+    assert found([(5, 1), (4, 1), (9, 7), (7, 9), (3, 3)]) == {5: 1, 4: 1, 9: 7}
+    assert found([(k, k + 1) for k in range(40)] + [(50, 51), (51, 52), (52, 50)]) == {**dict.fromkeys(range(1, 41), 0), 51: 50, 52: 50}
+    assert found([]) == {}
+
+
 def test_signatures_agree_as_often_as_counted(spark):
     rnd = random.Random(15)
     rows = []

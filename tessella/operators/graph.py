@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import hundredths, query, table
-from .spatial import near_pairs
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; only a local session without a shared folder gets a temporary one."""
+    """A reliable checkpoint; only a local session without a shared folder gets a temporary one.
+
+    Spark would keep the estimated size of what was saved. A join's estimate is the product of its sides', so over the
+    rounds of a loop its digits grow as a power of the rounds, to hundreds of MB on the driver. It is left out.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -23,7 +26,8 @@ def saved(df: DataFrame) -> DataFrame:
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -230,10 +234,23 @@ c AS (SELECT id AS node, id AS label FROM s UNION SELECT b.dst, c.label FROM c J
 SELECT node, min(label) AS component FROM c GROUP BY node
 """)
 def group_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands side by side within reach of each other form a crossing; lone bands stand alone."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), hundredths("s_acctbal").alias("x"))
-    t = s.select(F.col("src").alias("dst"), F.col("x").alias("y"))
-    return components(near_pairs(s, t, ["x"], ["y"], 6000.0).filter("src < dst"), s.select(F.col("src").alias("node")))
+    """Bands side by side within reach of each other form a crossing; lone bands stand alone.
+
+    Bands of a cell of the reach are all within it, so a cell joins whole, and to the next one only, if the gap between them
+    is within reach. No pairs of bands are made. A key with several bands joins their cells; without key or place a band stands alone.
+    """
+    reach = 6000
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), hundredths("s_acctbal").alias("x"))
+    s = s.withColumn("cell", F.when(F.col("node").isNotNull(), F.floor(F.col("x") / reach)))
+    cells = saved(s.filter("cell IS NOT NULL").groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("node").alias("least")))
+    home = s.groupBy("node").agg(F.min("cell").alias("cell"))
+    following = cells.select((F.col("cell") - 1).alias("cell"), F.col("lo").alias("next"))
+    beside = cells.join(following, "cell").filter(F.col("next") - F.col("hi") <= reach).select(F.col("cell").alias("src"), (F.col("cell") + 1).alias("dst"))
+    shared = s.join(home.select("node", F.col("cell").alias("src")), "node").filter("cell > src").select("src", F.col("cell").alias("dst"))
+    found = saved(components(beside.union(shared), cells.select(F.col("cell").alias("node"))).withColumnRenamed("node", "cell"))
+    crossing = found.join(cells, "cell").groupBy("component").agg(F.min("least").alias("least"))
+    named = home.join(found.join(crossing, "component"), "cell", "left")
+    return named.select("node", F.coalesce("least", "node").alias("component"))
 
 
 @query("g17_extend_chain", """

@@ -444,3 +444,23 @@ def test_areas_meet_once_and_stay_with_the_executors(spark, tmp_path):
     assert rows(df.toArrow()) == rows(database(folder).execute(SQL["j25_overlapping_areas"]).to_arrow_table())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_saved_tables_keep_no_estimate(spark):
+    """The estimate of a join of itself doubles its digits; that of a loop must not grow with its rounds."""
+    df = spark.range(3).withColumnRenamed("id", "k")
+    for _ in range(8):
+        df = graph.saved(df.join(df.select("k"), "k").distinct())
+    assert df.count() == 3 and len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40
+
+
+def test_group_bands_without_pairs(spark, tmp_path):
+    from oracle import database, rows
+    from tessella.catalog import QUERIES, SQL
+
+    rnd = random.Random(6)
+    odd = [(900, None), (901, None), (902, 59.99), (903, 60.0), (904, 119.99), (905, 180.0), (906, -0.01), (3, 9000.0), (3, 8000.0), (950, 8030.0), (951, 9060.0), (952, 9120.01)]
+    bands = [(k, round(rnd.uniform(-900, 9000), 2)) for k in range(60)] + odd
+    folder = written(spark, tmp_path, supplier=(bands, "s_suppkey long, s_acctbal double"))
+    got = QUERIES["g16_group_bands"](spark, folder)
+    assert rows(got.toArrow()) == rows(database(folder).execute(SQL["g16_group_bands"]).to_arrow_table())

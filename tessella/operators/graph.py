@@ -113,14 +113,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, i) AS k FR
 SELECT c_custkey, s, d FROM r WHERE k = 1
 """)
 def project_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abscissa and distance of points projected on their line of ordered vertices."""
-    w = Window.partitionBy("line").orderBy("a", "s_suppkey")
-    g = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("line"), "s_suppkey", hundredths("s_acctbal").alias("a"))
-    g = g.select("line", "a", F.lead("a").over(w).alias("b"), (F.col("a") - F.min("a").over(Window.partitionBy("line"))).alias("s0"), F.row_number().over(w).alias("i")).filter("b IS NOT NULL")
+    """Abscissa and distance of points projected on their line of ordered vertices.
+
+    On an axis the segments of a line follow each other without a gap, from its first vertex to its last. Of the nearest segments
+    each has the point's projection at the same place, the point moved into the line's span, so no pairs with segments are needed. A line
+    has two vertices at least; a point without a place is at the start, as in SQL, where greatest() and least() pass over nulls.
+    """
+    g = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("line"), hundredths("s_acctbal").alias("x"))
+    g = g.groupBy("line").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n")).filter("n > 1")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("line"), hundredths("c_acctbal").alias("p"))
-    d = F.greatest(F.col("a") - F.col("p"), F.col("p") - F.col("b"), F.lit(0))
-    s = F.col("s0") + F.least(F.greatest(F.col("p") - F.col("a"), F.lit(0)), F.col("b") - F.col("a"))
-    best = c.join(g, "line").groupBy("c_custkey").agg(F.min(F.struct(d.alias("d"), "i", s.alias("s"))).alias("m"))
+    d = F.greatest(F.col("lo") - F.col("p"), F.col("p") - F.col("hi"), F.lit(0))
+    s = F.least(F.greatest("p", "lo"), F.col("hi")) - F.col("lo")
+    best = c.join(g, "line").groupBy("c_custkey").agg(F.min(F.struct(d.alias("d"), s.alias("s"))).alias("m"))
     return best.select("c_custkey", "m.s", "m.d")
 
 

@@ -464,3 +464,31 @@ def test_group_bands_without_pairs(spark, tmp_path):
     folder = written(spark, tmp_path, supplier=(bands, "s_suppkey long, s_acctbal double"))
     got = QUERIES["g16_group_bands"](spark, folder)
     assert rows(got.toArrow()) == rows(database(folder).execute(SQL["g16_group_bands"]).to_arrow_table())
+
+
+def joined(df):
+    """Rows that the largest join of a query makes; the query is run."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    left = [plan]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        left += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_project_on_line_without_pairs(spark, tmp_path):
+    """Vertices at one place, lines of one vertex, missing places, points beyond the ends; a join row a point."""
+    from oracle import database, rows
+    from tessella.catalog import QUERIES, SQL
+
+    rnd = random.Random(7)
+    vertices = [(k, k % 3, float(rnd.randrange(40))) for k in range(40)] + [(90, 0, None), (91, 5, 1.0), (92, 6, 2.0), (93, 6, 2.0), (94, 7, None), (95, 7, 1.0)]
+    points = [(k, k % 8, rnd.uniform(-20, 60)) for k in range(400)] + [(900, 0, None), (901, 6, None)]
+    folder = written(spark, tmp_path, supplier=(vertices, "s_suppkey long, s_nationkey int, s_acctbal double"), customer=(points, "c_custkey long, c_nationkey int, c_acctbal double"))
+    df = QUERIES["g03_project_on_line"](spark, folder)
+    assert joined(df) <= len(points)
+    assert rows(df.toArrow()) == rows(database(folder).execute(SQL["g03_project_on_line"]).to_arrow_table())

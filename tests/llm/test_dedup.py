@@ -283,6 +283,25 @@ def test_crowds_keep_their_smallest_node(docs, monkeypatch):
     assert got == near_by_brute_force(rows) == dict.fromkeys(range(12), 0)
 
 
+def test_crowds_carry_shared_differences_only(docs, monkeypatch):
+    """What one node alone has makes no rows of a join and is not carried; it counts in the sizes."""
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    rnd, seen, durable = random.Random(22), [], near_dedup.durable
+
+    def watched(df):
+        out = durable(df)
+        if {"x", "d", "size"} <= set(out.columns):
+            seen.extend(out.select("d", "size").collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "durable", watched)
+    base = prose(rnd, 80).split()
+    rows = [(k, " ".join([*base[:30], f"own{k}", *base[31:60], f"other{k % 2}", *base[61:]][: 80 - k % 3])) for k in range(9)]
+    got = {r.id: r.component for r in near_dedup.classes(docs(rows)).collect()}
+    assert got == near_by_brute_force(rows)
+    assert seen and all(len(r["d"]) < r["size"] for r in seen)
+
+
 def test_components_of_stars_and_paths(spark):
     """Stars that are given stay as they are; paths and rings become stars on their smallest nodes."""
     def found(edges):

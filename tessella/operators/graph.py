@@ -16,8 +16,8 @@ from ..registry import hundredths, query, table
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint; only a local session without a shared folder gets a temporary one.
 
-    Spark would keep the estimated size of what was saved. A join's estimate is the product of its sides', so over the
-    rounds of a loop its digits grow as a power of the rounds, to hundreds of MB on the driver. It is left out.
+    Spark would keep the estimated size of what was saved. A join's estimate is the product of its sides', so its digits
+    double with each round of a loop. It is left out.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
